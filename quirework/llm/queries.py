@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import q_chat, q_dedup, q_mixing, q_sharding
+from quirework.llm import q_chat, q_dedup, q_mixing, q_quality, q_sharding
 
-MODULES = (q_chat, q_sharding, q_mixing, q_dedup)
+MODULES = (q_chat, q_quality, q_sharding, q_mixing, q_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
