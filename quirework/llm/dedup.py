@@ -6,12 +6,14 @@
    SuperMinHash signature. All elements of a batch advance together, one permutation rank a round; a document stops
    as soon as every slot holds a smaller rank than the next one, which for long texts is after the first round.
 2. Documents with equal sets collapse to the smallest doc_id, with partial aggregation, before anything else.
-3. Banding: in each bucket (band, hash) the smallest id leads, and every other member makes a pair with it, so rows
-   stay linear in the size of a bucket. Pairs are verified on the full sets, built again from the whole texts.
+3. Banding: in each bucket (band, hash) the member that meets most others over all its buckets leads: the likeliest
+   centre of its group. Every other member makes a pair with it, so rows stay linear in the size of a bucket. Pairs are
+   verified on the full sets, built again from the whole texts.
 4. Verified links are closed by alternating large-star and small-star steps. A bucket that then still holds several
-   components has pairs that no leader has tested: all its members outside its largest component are compared with
-   the members of other components, so no candidate pair goes untested. A match of the short signatures in at
-   least 60 % of places is asked for first; a true pair misses that with a probability under 1e-12.
+   components has pairs that no leader has tested: in two rounds one more leader each from outside its largest
+   component meets the others; then all remaining members outside of it are compared with the members of other
+   components, so no candidate pair goes untested. A match of the short signatures in at least 60 % of places is
+   asked for first; a true pair misses that with a probability under 1e-12.
 5. Components are closed once more and handed back to all copies.
 
 With 25 bands of five slots a pair at the threshold of 0.85 meets in no band with probability 4e-7.
@@ -40,6 +42,8 @@ SLOTS = BANDS * ROWS
 THRESHOLD_PERCENT = 85
 #: Share of equal places of the short signatures below which a pair isn't verified.
 AGREEMENT = 0.6
+#: Rounds with one more leader a bucket before all untested pairs of different components are compared.
+LEADER_ROUNDS = 2
 _FACTORS = textkit.mix(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 
@@ -157,10 +161,8 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent), "a long, b long").distinct())
 
@@ -183,30 +185,56 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
+def _untested(members: DataFrame, reach: DataFrame, percent: int, everyone: bool) -> DataFrame:
+    """Pairs (a < b) of like signatures that share a bucket but no component.
+
+    In buckets that hold several components, the likeliest centre outside the largest one (everyone: all members
+    outside of it) meets the members of other components.
+    """
+    owned = members.join(reach.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = owned.groupBy("band", "hash", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("band", "hash").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("c")).filter("n > 2 and c > 1").select("band", "hash", F.col("top.component").alias("main"))
+    held = cut(owned.join(main, ["band", "hash"]))
+    left = held.filter("component <> main")
+    if not everyone:
+        top = F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "rep", "component", "n_shingles", "short")).alias("top")
+        left = left.groupBy("band", "hash").agg(top).select("band", "hash", "top.*")
+    left = left.select("band", "hash", F.col("rep").alias("p"), F.col("component").alias("comp_p"), F.col("n_shingles").alias("n_p"), F.col("short").alias("short_p"))
+    right = held.select("band", "hash", F.col("rep").alias("q"), F.col("component").alias("comp_q"), F.col("n_shingles").alias("n_q"), F.col("short").alias("short_q"))
+    wide = left.join(right, ["band", "hash"]).filter(f"comp_p <> comp_q and least(n_p, n_q) * 100 >= {percent} * greatest(n_p, n_q)")
+    wide = wide.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("short_p").alias("short_a"), F.col("short_q").alias("short_b"))
+    return wide.mapInArrow(_agreeing, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of `docs` (doc_id long, text string; others are ignored)."""
     feats = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, short binary"))
     exact = feats.filter("n_shingles > 0").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"))
     reps = cut(feats.join(exact.filter("rep is not null").select("fp_a", "fp_b", F.col("rep").alias("doc_id")), ["fp_a", "fp_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "short"))
     placed = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
-    leaders = placed.groupBy("band", "hash").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(placed.join(leaders, ["band", "hash"]))
-    pairs = cut(members.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    links = _verified(pairs, docs, percent)
+    shared = placed.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1")
+    met = cut(placed.join(shared, ["band", "hash"]))
+    # who meets most others is the likeliest centre of its group
+    degrees = met.groupBy("rep").agg(F.sum("n").alias("degree"))
+    met = met.select("band", "hash", "rep").join(degrees, "rep")
+    leaders = met.groupBy("band", "hash").agg((-F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).minus).alias("a"))
+    members = cut(met.join(leaders, ["band", "hash"]).join(reps.select("rep", "n_shingles", "short"), "rep"))
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(degrees.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+
+    tested = cut(members.filter("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
+    links = _verified(tested, texts, percent)
     reach = cut(components(links))
-
-    # Buckets of three or more that still hold several components.
-    owned = members.select("band", "hash", "rep", "a").join(reach.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parts = owned.groupBy("band", "hash", "component").agg(F.count("*").alias("k"))
-    main = parts.groupBy("band", "hash").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("c")).filter("n > 2 and c > 1").select("band", "hash", F.col("top.component").alias("main"))
-    held = cut(owned.join(main, ["band", "hash"]).join(reps.select("rep", "n_shingles", "short"), "rep"))
-    left = held.filter("component <> main").select("band", "hash", F.col("rep").alias("a"), F.col("component").alias("comp_a"), F.col("n_shingles").alias("n_a"), F.col("short").alias("short_a"), F.col("a").alias("leader"))
-    right = held.select("band", "hash", F.col("rep").alias("b"), F.col("component").alias("comp_b"), "main", F.col("n_shingles").alias("n_b"), F.col("short").alias("short_b"))
-    wide = left.join(right, ["band", "hash"]).filter(f"comp_a <> comp_b and (comp_b = main or a < b) and b <> leader and a <> leader and least(n_a, n_b) * 100 >= {percent} * greatest(n_a, n_b)")
-    rest = cut(wide.select("a", "b", "short_a", "short_b").mapInArrow(_agreeing, "a long, b long").distinct())
-    if not rest.isEmpty():
-        more = _verified(rest.join(pairs.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti"), docs, percent)
-        reach = cut(components(links.unionByName(more)))
+    for everyone in (False,) * LEADER_ROUNDS + (True,):
+        fresh = cut(_untested(members, reach, percent, everyone).join(tested, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            if everyone:
+                break
+            continue
+        tested = tested.unionByName(fresh)
+        found = _verified(fresh, texts, percent)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            reach = cut(components(links))
 
     classes = exact.join(reach.withColumnRenamed("id", "rep"), "rep", "left").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("class"))
     found = feats.select("doc_id", "n_shingles", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b"], "left")
