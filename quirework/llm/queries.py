@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import q_chat, q_dedup, q_licenses, q_mixing, q_quality, q_sharding
+from quirework.llm import q_chat, q_dedup, q_licenses, q_mixing, q_pieces, q_quality, q_sharding, q_topk
 
-MODULES = (q_chat, q_quality, q_licenses, q_sharding, q_mixing, q_dedup)
+MODULES = (q_chat, q_quality, q_licenses, q_sharding, q_topk, q_mixing, q_dedup, q_pieces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
