@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import q_chat, q_dedup, q_licenses, q_lm, q_mixing, q_pieces, q_quality, q_sharding, q_topk
+from quirework.llm import q_chat, q_dedup, q_licenses, q_lm, q_mixing, q_pieces, q_quality, q_sharding, q_topk, q_warc
 
-MODULES = (q_chat, q_quality, q_licenses, q_sharding, q_topk, q_mixing, q_dedup, q_lm, q_pieces)
+MODULES = (q_chat, q_quality, q_licenses, q_sharding, q_topk, q_mixing, q_dedup, q_warc, q_lm, q_pieces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
