@@ -15,7 +15,8 @@ a source as its rows ask for (`BUCKET_ROWS`); bucket sums are aggregated on the
 and only the bucket in which a source's cut lies is ordered row by row.
 
 Defined results: a null text has size 0 and takes no words; documents of size 0 share the certain copies, at least one;
-a null source is a source of its own, ordered last; rows equal in doc_id and text tie and are taken in any order; an
+a null source is a source of its own, ordered last; rows equal in doc_id and text tie
+and are taken together; an
 empty table gives no rows.
 """
 
@@ -83,10 +84,10 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     placed = ranked.join(cuts.withColumnRenamed("source", "_s"), ranked["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
     edge = placed.filter("bucket = cut")
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("words_before", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("q").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = edge.withColumn("tied", F.sum("size").over(Window.partitionBy("source", "q"))).withColumn("words_before", F.col("before") + upto - F.col("tied"))
     # the last document of the prefix comes in where that brings the sum nearer to the rest
-    edge = edge.withColumn("chosen", F.col("words_before") + F.col("size") / 2.0 < F.col("rest")).drop("words_before")
+    edge = edge.withColumn("chosen", F.col("words_before") + F.col("tied") / 2.0 < F.col("rest")).drop("words_before", "tied")
     others = placed.filter("not (bucket <=> cut and bucket is not null)").withColumn("chosen", F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)))
     copies = F.col("whole") + F.col("chosen").cast("long")
     copies = F.when(F.col("size") == 0, F.greatest(copies, F.lit(1))).otherwise(copies)

@@ -42,9 +42,10 @@ WITH sized AS (
     CASE WHEN d.size > 0 AND s.rest > 0 THEN u / (1 - u) / ((rest / source_size) / (1 - (rest / source_size)) * (d.size * s.n / s.source_size)) END AS q
   FROM sized d JOIN split s ON d.source IS NOT DISTINCT FROM s.source
 ), summed AS (
-  SELECT *, coalesce(sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q ASC NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before FROM ranked
+  SELECT *, sum(size) OVER (PARTITION BY source, q) AS tied,
+    sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q ASC NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked
 ), counted AS (
-  SELECT *, whole + CASE WHEN q IS NOT NULL AND words_before + size / 2.0 < rest THEN 1 ELSE 0 END AS c FROM summed
+  SELECT *, whole + CASE WHEN q IS NOT NULL AND upto - tied + tied / 2.0 < rest THEN 1 ELSE 0 END AS c FROM summed
 )
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN greatest(c, 1) ELSE c END AS BIGINT) AS copies,
   CAST((CASE WHEN size = 0 THEN greatest(c, 1) ELSE c END) * size AS BIGINT) AS taken

@@ -55,15 +55,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base figures and the histograms `chars` and `commons` of each row."""
+def counts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, the base figures, the histograms `chars` and `commons` and the columns `carry` of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     trimmed = F.regexp_replace("text", f"^{SPACE}|{SPACE}$", "")
     vocabulary = F.array().cast("array<string>")
     for lang, common in COMMON_WORDS.items():
         vocabulary = F.when(F.col("lang") == lang, F.array(*map(F.lit, common))).otherwise(vocabulary)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    rows = rows.select("doc_id", "lang", "text", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE, -1)).alias("words"), vocabulary.alias("vocabulary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), *carry)
+    rows = rows.select("doc_id", "lang", "text", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE, -1)).alias("words"), vocabulary.alias("vocabulary"), *carry)
 
     n = F.size("words")
     window = lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("p"))
@@ -83,6 +83,7 @@ def counts(docs: DataFrame) -> DataFrame:
         windows.alias("windows"),
         letters.alias("letters"),
         (F.size("vocabulary") > 0).alias("known"),
+        *carry,
     )
 
     at = lambda i: F.get("windows", i)["h"]
@@ -102,6 +103,7 @@ def counts(docs: DataFrame) -> DataFrame:
         covered.cast("long").alias("n_repeat_words"),
         F.array(lower, "upper", "wide", "digit", F.col("punct") - F.col("n_symbols"), "n_symbols", "space").alias("chars"),
         F.array(*commons).alias("commons"),
+        *carry,
     )
 
 
@@ -121,9 +123,9 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(divergence / 2 / F.ln(F.lit(2.0)), F.lit(0.0)))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base figures, both distances, base_failed and kept of each row of `docs` (doc_id, text, lang)."""
-    rows = cut(counts(docs))
+def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the base figures, both distances, base_failed, kept and the columns `carry` of each row of `docs` (doc_id, text, lang)."""
+    rows = cut(counts(docs, carry))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", base_failed)
     typical = rows.filter("known and not base_failed")
@@ -131,7 +133,7 @@ def judge(docs: DataFrame) -> DataFrame:
     chars = f"n_words >= {MIN_WORDS_CHARS} and char_distance > {MAX_CHAR_DISTANCE}"
     both = f"n_words >= {MIN_WORDS_BOTH} and char_distance > {MAX_CHAR_DISTANCE} and word_distance > {MAX_WORD_DISTANCE}"
     found = _against(rows, typical).withColumn("kept", F.expr(f"not base_failed and not coalesce({chars}, false) and not coalesce({both}, false)"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"), *carry)
 
 
 def _against(rows: DataFrame, typical: DataFrame) -> DataFrame:
