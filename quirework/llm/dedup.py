@@ -10,10 +10,9 @@
    centre of its group. Every other member makes a pair with it, so rows stay linear in the size of a bucket. Pairs are
    verified on the full sets, built again from the whole texts.
 4. Verified links are closed by alternating large-star and small-star steps. A bucket that then still holds several
-   components has pairs that no leader has tested: in two rounds one more leader each from outside its largest
-   component meets the others; then all remaining members outside of it are compared with the members of other
-   components, so no candidate pair goes untested. A match of the short signatures in at least 60 % of places is
-   asked for first; a true pair misses that with a probability under 1e-12.
+   components has pairs that its leader has not tested: blocks of its members meet two by two, and pairs of different
+   components are verified too, so no candidate pair goes untested. Short signatures, a byte a slot, must agree in a
+   share of slots of at least the threshold less MARGIN first: a true pair misses that with a probability of 1e-5.
 5. Components are closed once more and handed back to all copies.
 
 With 25 bands of five slots a pair at the threshold of 0.85 meets in no band with probability 4e-7.
@@ -40,10 +39,10 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 THRESHOLD_PERCENT = 85
-#: Share of equal places of the short signatures below which a pair isn't verified.
-AGREEMENT = 0.6
-#: Rounds with one more leader a bucket before all untested pairs of different components are compared.
-LEADER_ROUNDS = 2
+#: Pairs whose short signatures agree in a share of places this much below the threshold aren't verified.
+MARGIN = 0.12
+#: Members of a bucket that meet in one task, on each side.
+BLOCK_MEMBERS = 1024
 _FACTORS = textkit.mix(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 
@@ -154,11 +153,35 @@ def _verifier(percent: int):
     return verify
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SLOTS) for c in ("short_a", "short_b"))
-        keep = pa.array((x == y).sum(axis=1) >= AGREEMENT * SLOTS)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+def _comparer(percent: int):
+    """Pairs of like signatures and sizes, in different components, of one bucket's blocks `i` and `j`."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least = percent / 100 - MARGIN
+
+    def compare(group: pa.Table) -> pa.Table:
+        band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
+        block, rep, component, size = (np.asarray(group.column(c)) for c in ("block", "rep", "component", "n_shingles"))
+        short = np.frombuffer(b"".join(group.column("short").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
+        bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = []
+        for start in range(0, len(rows), 64):
+            x = rows[start : start + 64]
+            fit = (component[x, None] != component[columns]) & (100 * np.minimum(size[x, None], size[columns]) >= percent * np.maximum(size[x, None], size[columns]))
+            if i == j:
+                fit &= rep[x, None] < rep[columns]
+            p, q = np.nonzero(fit)
+            p, q = x[p], columns[q]
+            for part in range(0, len(p), 1 << 16):
+                u, v = p[part : part + (1 << 16)], q[part : part + (1 << 16)]
+                like = (short[u] == short[v]).sum(axis=1) >= least * SLOTS
+                u, v = u[like], v[like]
+                new = ~(bands[u, :band] == bands[v, :band]).any(axis=1)  # a bucket of an earlier band has emitted the others
+                out.append(np.stack([np.minimum(rep[u[new]], rep[v[new]]), np.maximum(rep[u[new]], rep[v[new]])]))
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1]}, schema=schema)
+
+    return compare
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -185,25 +208,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
-def _untested(members: DataFrame, reach: DataFrame, percent: int, everyone: bool) -> DataFrame:
-    """Pairs (a < b) of like signatures that share a bucket but no component.
-
-    In buckets that hold several components, the likeliest centre outside the largest one (everyone: all members
-    outside of it) meets the members of other components.
-    """
+def _untested(members: DataFrame, reach: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of like signatures that share a bucket but no component; blocks of a bucket meet two by two."""
     owned = members.join(reach.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parts = owned.groupBy("band", "hash", "component").agg(F.count("*").alias("k"))
-    main = parts.groupBy("band", "hash").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("c")).filter("n > 2 and c > 1").select("band", "hash", F.col("top.component").alias("main"))
-    held = cut(owned.join(main, ["band", "hash"]))
-    left = held.filter("component <> main")
-    if not everyone:
-        top = F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "rep", "component", "n_shingles", "short")).alias("top")
-        left = left.groupBy("band", "hash").agg(top).select("band", "hash", "top.*")
-    left = left.select("band", "hash", F.col("rep").alias("p"), F.col("component").alias("comp_p"), F.col("n_shingles").alias("n_p"), F.col("short").alias("short_p"))
-    right = held.select("band", "hash", F.col("rep").alias("q"), F.col("component").alias("comp_q"), F.col("n_shingles").alias("n_q"), F.col("short").alias("short_q"))
-    wide = left.join(right, ["band", "hash"]).filter(f"comp_p <> comp_q and least(n_p, n_q) * 100 >= {percent} * greatest(n_p, n_q)")
-    wide = wide.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("short_p").alias("short_a"), F.col("short_q").alias("short_b"))
-    return wide.mapInArrow(_agreeing, "a long, b long").distinct()
+    open_ = owned.groupBy("band", "hash").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).filter("k > 2 and low <> high")
+    blocks = F.ceil(F.col("k") / BLOCK_MEMBERS).cast("int")
+    held = owned.join(open_.select("band", "hash", blocks.alias("blocks")), ["band", "hash"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    meetings = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return meetings.groupBy("band", "hash", "i", "j").applyInArrow(_comparer(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -218,23 +230,15 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     degrees = met.groupBy("rep").agg(F.sum("n").alias("degree"))
     met = met.select("band", "hash", "rep").join(degrees, "rep")
     leaders = met.groupBy("band", "hash").agg((-F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).minus).alias("a"))
-    members = cut(met.join(leaders, ["band", "hash"]).join(reps.select("rep", "n_shingles", "short"), "rep"))
+    members = cut(met.join(leaders, ["band", "hash"]).join(reps, "rep"))
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(degrees.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
     tested = cut(members.filter("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
     links = _verified(tested, texts, percent)
     reach = cut(components(links))
-    for everyone in (False,) * LEADER_ROUNDS + (True,):
-        fresh = cut(_untested(members, reach, percent, everyone).join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if everyone:
-                break
-            continue
-        tested = tested.unionByName(fresh)
-        found = _verified(fresh, texts, percent)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            reach = cut(components(links))
+    rest = cut(_untested(members, reach, percent).join(tested, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        reach = cut(components(links.unionByName(_verified(rest, texts, percent))))
 
     classes = exact.join(reach.withColumnRenamed("id", "rep"), "rep", "left").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("class"))
     found = feats.select("doc_id", "n_shingles", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b"], "left")
