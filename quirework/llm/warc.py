@@ -58,6 +58,11 @@ def url_key(url: str | None) -> str:
     return key + (f"?{parts.query}" if parts.query else "")
 
 
+def target(url: str | None) -> str | None:
+    """The URL with all but plain URL characters escaped: what a header can hold."""
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~-._") if url else None
+
+
 def record_id(page_id: int) -> str:
     return f"<urn:uuid:{uuid.UUID(int=(_SPACE << 64) | (page_id % 2**64))}>"
 
@@ -84,7 +89,7 @@ def record(page_id: int | None, url: str | None, html: str | None, first: int |
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"),
         ("WARC-Date", captured_at(page_id)),
-        ("WARC-Target-URI", quote(url, safe="!#$%&'()*+,/:;=?@[]~-._") if url else None),
+        ("WARC-Target-URI", target(url)),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
         ("X-Payload-Length", len(payload)),
         ("X-Page-ID", page_id),
@@ -109,7 +114,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _url_keys(column):
-    return column.map(url_key)
+    return column.map(lambda url: url_key(target(url)))
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
