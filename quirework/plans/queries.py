@@ -525,3 +525,33 @@ def word_alignment(spark, sf_dir):
 def fused_text(spark, sf_dir):
     """The voted text of every page, by network alignment and character votes."""
     return voting.page_text(voting.fuse(S.readings(spark, sf_dir), _weights(spark)))
+
+
+@query()
+def repaired_text(spark, sf_dir):
+    """The voted text of every page, with unsure words repaired where a page is English."""
+    from quirework.plans.tuning import system_text
+
+    config = io.Config(sources={s: w for s, w, _ in S.WEIGHTS}, lm_params={"lam": 10.0, "mu": 3.0, "margin": 1.0, "keep_unknown": 0.5})
+    english = S.documents(spark, sf_dir).filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("book"), "text")
+    return system_text(spark, S.readings(spark, sf_dir), config, lexicon.build(io.corpus_words(english)))
+
+
+@query()
+def wrapped_lines(spark, sf_dir):
+    """Every document's words in lines of up to 60 characters."""
+    from quirework.plans.tuning import wrapped
+
+    lines = S.documents(spark, sf_dir).select("doc_id", F.posexplode(wrapped(T.words(F.coalesce("text", F.lit(""))), 60)).alias("line_no", "line"))
+    return lines
+
+
+_PLACE = "(CAST(CAST('0x' || substr(md5('1234:' || image || ':' || i), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0)"
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN u < 0.70 THEN 'word' WHEN u < 0.76 THEN 'money' WHEN u < 0.82 THEN 'date' WHEN u < 0.87 THEN 'name' WHEN u < 0.91 THEN 'mail' WHEN u < 0.95 THEN 'invoice' WHEN u < 0.98 THEN 'percent' ELSE 'phone' END AS kind FROM (SELECT {_PLACE} AS u FROM truth)) GROUP BY kind")
+def token_mixture(spark, sf_dir):
+    from quirework.plans.generate import mixed_line
+
+    words = S.samples(spark, sf_dir).select("image", F.posexplode("words").alias("pos", "word"))
+    return mixed_line(words).groupBy("kind").agg(F.count("*").alias("n"))
