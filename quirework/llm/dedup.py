@@ -11,7 +11,7 @@
    verified on the full sets, built again from the whole texts.
 4. Verified links are closed by alternating large-star and small-star steps. A bucket that then still holds several
    components has pairs that its leader has not tested: blocks of its members meet two by two, and pairs of different
-   components are verified too, so no candidate pair goes untested. Short signatures, a byte a slot, must agree in a
+   components are verified too, in cells that hold each text once, so no candidate pair goes untested. Short signatures, a byte a slot, must agree in a
    share of slots of at least the threshold less MARGIN first: a true pair misses that with a probability of 1e-5.
 5. Components are closed once more and handed back to all copies.
 
@@ -153,13 +153,19 @@ def _verifier(percent: int):
     return verify
 
 
+_CELLS = pa.schema([("cell", pa.int64()), ("doc_id", pa.int64()), ("pairs", pa.binary())])
+
+
 def _comparer(percent: int):
-    """Pairs of like signatures and sizes, in different components, of one bucket's blocks `i` and `j`."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Pairs of like signatures and sizes, in different components, of one bucket's blocks `i` and `j`.
+
+    They leave as one packed row for the cell (the two blocks) and a row for each document in them, so a text is sent to a
+    cell once, however many of its pairs there are.
+    """
     least = percent / 100 - MARGIN
 
     def compare(group: pa.Table) -> pa.Table:
-        band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
+        band, bucket, i, j = (group.column(c)[0].as_py() for c in ("band", "hash", "i", "j"))
         block, rep, component, size = (np.asarray(group.column(c)) for c in ("block", "rep", "component", "n_shingles"))
         short = np.frombuffer(b"".join(group.column("short").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
         bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
@@ -179,11 +185,48 @@ def _comparer(percent: int):
                 new = ~(bands[u, :band] == bands[v, :band]).any(axis=1)  # a bucket of an earlier band has emitted the others
                 out.append(np.stack([np.minimum(rep[u[new]], rep[v[new]]), np.maximum(rep[u[new]], rep[v[new]])]))
         pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]}, schema=schema)
+        if not pairs.size:
+            return _CELLS.empty_table()
+        cell = np.int64(xxhash.xxh3_64_intdigest(repr((band, bucket, i, j))) >> 1)
+        docs = np.unique(pairs)
+        return pa.table({"cell": np.full(len(docs) + 1, cell), "doc_id": pa.array([*docs.tolist(), None], type=pa.int64()), "pairs": pa.array([None] * len(docs) + [pairs.astype("<i8").tobytes()], type=pa.binary())})
 
     return compare
 
 
+def _cell_verifier(percent: int):
+    def verify(packed: pa.Table, docs: pa.Table) -> pa.Table:
+        """The similar pairs of a cell; each set is made once, and pairs that links already connect are passed over."""
+        texts = docs.column("text").combine_chunks()
+        sets: dict[int, list[np.ndarray]] = {}
+        ids = docs.column("doc_id").to_pylist()
+        for start, stop in textkit.slices(texts):
+            flat, sizes = shingle_sets(texts.slice(start, stop - start))
+            for k, part in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
+                sets.setdefault(ids[start + k], []).append(part)
+        root = {i: i for i in sets}
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        linked: list[tuple[int, int]] = []
+        for block in packed.column("pairs").to_pylist():
+            for a, b in np.frombuffer(block, "<i8").reshape(2, -1).T.tolist():
+                if a not in sets or b not in sets or find(a) == find(b):
+                    continue
+                for x in sets[a]:
+                    for y in sets[b]:
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if both and 100 * both >= percent * (len(x) + len(y) - both) and find(a) != find(b):
+                            root[find(a)] = find(b)
+                            linked.append((a, b))
+        return pa.table({"a": pa.array([x for x, _ in linked], type=pa.int64()), "b": pa.array([x for _, x in linked], type=pa.int64())})
+
+    return verify
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -209,13 +252,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _untested(members: DataFrame, reach: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of like signatures that share a bucket but no component; blocks of a bucket meet two by two."""
+    """Pairs of like signatures that share a bucket but no component, by cell; blocks of a bucket meet two by two."""
     owned = members.join(reach.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = owned.groupBy("band", "hash").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).filter("k > 2 and low <> high")
     blocks = F.ceil(F.col("k") / BLOCK_MEMBERS).cast("int")
     held = owned.join(open_.select("band", "hash", blocks.alias("blocks")), ["band", "hash"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meetings = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return meetings.groupBy("band", "hash", "i", "j").applyInArrow(_comparer(percent), "a long, b long").distinct()
+    return meetings.groupBy("band", "hash", "i", "j").applyInArrow(_comparer(percent), "cell long, doc_id long, pairs binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -236,9 +279,11 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     tested = cut(members.filter("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
     links = _verified(tested, texts, percent)
     reach = cut(components(links))
-    rest = cut(_untested(members, reach, percent).join(tested, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        reach = cut(components(links.unionByName(_verified(rest, texts, percent))))
+    rest = cut(_untested(members, reach, percent))
+    needed = rest.filter("doc_id is not null").select("cell", "doc_id").join(texts, "doc_id").select(F.col("cell").alias("at"), "doc_id", "text")
+    more = cut(rest.filter("pairs is not null").select("cell", "pairs").groupBy("cell").cogroup(needed.groupBy("at")).applyInArrow(_cell_verifier(percent), "a long, b long"))
+    if not more.isEmpty():
+        reach = cut(components(links.unionByName(more)))
 
     classes = exact.join(reach.withColumnRenamed("id", "rep"), "rep", "left").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("class"))
     found = feats.select("doc_id", "n_shingles", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b"], "left")
