@@ -1,8 +1,9 @@
 """WARC archives of pages, and a globally ordered capture index by external merging of sorted runs.
 
-`write` makes one record of each page and lets Spark's text writer place them, one archive a partition; a record's
-trailing CRLF CRLF is the writer's line separator. Rows are sorted by URL key, time and page within their partition, so
-each archive is a locally sorted capture run. `read` parses archives by Content-Length and checks payload digests.
+`write` makes one record of each page and lets Spark's text writer place them, in gzip archives of up to RECORDS_PER_FILE
+records; a record's trailing CRLF CRLF is the writer's line separator. Rows are sorted by URL key, time and page within
+their partition, so each archive is a locally sorted capture run. `read` parses archives by Content-Length and checks
+payload digests.
 `merged` orders the captures of all runs: key ranges are dealt to tasks, each task gets its slice of every run, still
 sorted, and merges the slices with a loser tree by (URL key, time, page).
 
@@ -18,6 +19,7 @@ responses all; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -126,7 +128,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     key = F.pandas_udf(_url_keys, "string")
     found = rows.join(repeated, same, "left").select("page_id", "url", "html", "first").withColumn("key", key("url"))
     ordered = found.sortWithinPartitions("key", F.pmod("page_id", F.lit(CYCLE_SECONDS)), "page_id")
-    ordered.mapInArrow(_records, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    ordered.mapInArrow(_records, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(run: str, data: bytes) -> Iterator[dict]:
@@ -157,7 +159,7 @@ def parse(run: str, data: bytes) -> Iterator[dict]:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content")):
-            yield pa.RecordBatch.from_pylist(list(parse(path.as_py(), content.as_py())), schema=_INDEX)
+            yield pa.RecordBatch.from_pylist(list(parse(path.as_py(), gzip.decompress(content.as_py()))), schema=_INDEX)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
