@@ -21,6 +21,8 @@ REJOIN = [
 ]
 #: Word numbers are encoded as code points from here on, all below the surrogates.
 _FIRST_CODE, _MAX_WORDS = 0x4E00, 35_327
+#: Half-widths that are tried before the full table of a distance.
+_BANDS = (12, 36, 108, 324, 972)
 
 
 def let(value: Column, body) -> Column:
@@ -96,10 +98,15 @@ def deletes(word: Column, depth: int) -> Column:
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of any two texts: narrow bands first, so similar long texts cost a multiple of their distance."""
-    full = F.levenshtein(a, b)
-    near, wide = F.levenshtein(a, b, 16), F.levenshtein(a, b, 512)
-    return let(near, lambda x: F.when((x >= 0) | x.isNull(), x).otherwise(let(wide, lambda y: F.when(y >= 0, y).otherwise(full))))
+    """Levenshtein distance of any two texts: in bands that widen until one holds it, so similar texts cost a multiple of their distance."""
+    out = F.levenshtein(a, b)
+    for band in reversed(_BANDS):
+        out = _within(F.levenshtein(a, b, band), out)
+    return out
+
+
+def _within(banded: Column, wider: Column) -> Column:
+    return let(banded, lambda x: F.when((x >= 0) | x.isNull(), x).otherwise(wider))
 
 
 def as_codes(sequence: Column, kinds: Column) -> Column:

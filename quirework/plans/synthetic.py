@@ -20,7 +20,10 @@ WEIGHTS = [(s[0], s[7], i) for i, s in enumerate(SOURCES)]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents, dealt anew only where the input has fewer splits than there are cores."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, "doc_id")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
