@@ -1,28 +1,29 @@
 """Language-model scoring by a weighted backoff automaton over words.
 
 Model: a text is its words (A-Z folded) and one end token. p(w) = (c(w) + A) / (N + A (V + 1)) over training tokens, an
-unseen word being the one extra type. Words with a share of at least `STATE_SHARE` of the training tokens are states, as
-is the begin of a text; word pairs with a share of at least `ARC_SHARE` (and two occurrences) are arcs of the first
-word's state, with the probability (c(u, w) - D) / c(u). A failure arc leads from each state to the root and carries the
-mass that its arcs leave, divided by the root's mass outside of them, so each state's probabilities sum to 1. One pass from
-left to right keeps the state, takes the arc or else the failure arc and the root's arc, and adds log10 probabilities.
-
-Shares sum to 1, so there are at most 1 / STATE_SHARE states and 1 / ARC_SHARE arcs, whatever the input: the automaton is
-bounded and every worker gets it. The root's counts are not: documents fall into blocks of about `BLOCK_BYTES` by a
-hash; a block's distinct words, with their training counts in the block, are summed by word over all blocks, and each
-block gets the sums of its own words back beside its texts. So no vocabulary is ever held in one place.
+unseen word being the one extra type. Each training word is a state, as is the begin of a text; each word pair that
+training holds at least `LEAST` times is an arc of the first word's state, with the probability (c(u, w) - D) / c(u). A
+failure arc leads from each state to the root and carries the mass that its arcs leave, divided by the root's mass outside
+of them, so each state's probabilities sum to 1. One pass from left to right keeps the state, takes the arc or else the
+failure arc and the root's arc, and adds log10 probabilities.
+
+The automaton grows with the input and is never held in one place. Documents fall into blocks of about `BLOCK_BYTES` by a
+hash. A block's distinct words, with their training counts in the block, are summed by word over all blocks, and each
+block gets the sums of its own words back beside its texts. Its distinct pairs leave as packed hashes with counts, one
+pack for each range of hashes; a range's packs are summed together and go back in the order in which they came, so a block
+reads them against its own sorted pairs. One block of those that hold an arc owns it; owners sum what a state's arcs leave,
+in whole numbers, which is joined to the words of each block.
 
 Held out: documents with crc32 of doc_id as text modulo 10 equal to 0 (a null doc_id counts as the empty text); they are
 scored, not learned. Defined results: a null or empty text is one end token; without training tokens all words are
-unseen; words are told apart by 64-bit hashes; an empty table gives no rows.
+unseen; words and pairs are told apart by 64-bit hashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,61 +31,15 @@ from quirework.llm import textkit
 from quirework.llm.shared import stored
 
 BLOCK_BYTES = 12 << 20
+#: Text whose pairs are summed in one task.
+BUCKET_BYTES = 16 << 20
 ADDED = 0.1
 DISCOUNT = 0.5
-STATE_SHARE = 1e-5
-ARC_SHARE = 1e-6
-_BITS = 18
-_MERGE_AT = 1 << 21
-
-
-class Automaton:
-    """States, arcs and failure arcs; word w's number is its place in `states`, then begin or end of text."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, types: int, texts: int, arcs: np.ndarray, arc_counts: np.ndarray):
-        order = np.argsort(words)
-        self.states, counts = words[order], counts[order]
-        self.tokens, self.texts = tokens, texts
-        self.total = tokens + ADDED * (types + 1)
-        self.edge = len(self.states)  # begin as a state, end as a target
-        order = np.argsort(arcs)
-        self.arcs, arc_counts = arcs[order], arc_counts[order]
-        source, target = self.arcs >> _BITS, self.arcs & ((1 << _BITS) - 1)
-        uses = np.append(counts, texts).astype(np.float64)
-        p = (arc_counts - DISCOUNT) / uses[source]
-        root = 10.0 ** self.root(uses)
-        kept = np.bincount(source, p, len(uses))
-        covered = np.bincount(source, root[target], len(uses))
-        self.weights = np.log10(p)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rest, outside = 1 - kept, 1 - covered
-            self.failure = np.where((rest > 0) & (outside > 0), np.log10(rest / outside), 0.0)
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + ADDED) / self.total)
-
-    def number(self, words: np.ndarray) -> np.ndarray:
-        """The number of each word's state, -1 without one."""
-        if not len(self.states):
-            return np.full(len(words), -1)
-        at = np.searchsorted(self.states, words).clip(max=len(self.states) - 1)
-        return np.where(self.states[at] == words, at, -1)
-
-    def traverse(self, states: np.ndarray, roots: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token. states: numbers, the end token's is `edge`; first: begins of texts."""
-        before = np.empty_like(states)
-        before[1:] = states[:-1]
-        before[first] = self.edge
-        out = roots.copy()
-        inside = before >= 0
-        out[inside] += self.failure[before[inside]]
-        pairs = np.flatnonzero(inside & (states >= 0))
-        if len(self.arcs):
-            keys = (before[pairs] << _BITS) | states[pairs]
-            at = np.searchsorted(self.arcs, keys).clip(max=len(self.arcs) - 1)
-            hit = self.arcs[at] == keys
-            out[pairs[hit]] = self.weights[at[hit]]
-        return out
+#: Training occurrences of a pair that make it an arc, whatever the size of the input.
+LEAST = 2
+#: Begin of a text as the first, end of a text as the second word of a pair.
+EDGE = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = np.uint64(0xD1342543DE82EF95)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -92,51 +47,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0)
 
 
-def _count_words(block: pa.Table) -> pa.Table:
-    words, counts = textkit.words(block.column("text"))
-    learned = np.repeat(~np.asarray(block.column("held_out")), counts)
-    kinds, inverse = np.unique(words, return_inverse=True)
-    n = np.bincount(inverse, learned, len(kinds)).astype(np.int64)
-    number = block.column("block")[0].as_py()
-    return pa.table({"block": np.full(len(kinds), number, np.int64), "word": kinds.view(np.int64), "n": n})
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kinds, inverse = np.unique(keys, return_inverse=True)
-    return kinds, np.bincount(inverse, counts, len(kinds)).astype(np.int64)
-
-
-def _pair_counter(states: np.ndarray):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Automaton(states, np.zeros(len(states)), 0, 0, 0, np.zeros(0, np.int64), np.zeros(0))
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-        emit = lambda: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in textkit.slices(texts):
-                words, sizes = textkit.words(texts.slice(a, b - a))
-                numbers, first = with_ends(model.number(words), sizes, model.edge)
-                before = np.empty_like(numbers)
-                before[1:] = numbers[:-1]
-                before[first] = model.edge
-                both = (before >= 0) & (numbers >= 0)
-                waiting.append((before[both] << _BITS) | numbers[both])
-                if sum(map(len, waiting)) >= _MERGE_AT:
-                    new = np.concatenate(waiting)
-                    keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
-                    waiting = []
-                    if len(keys) >= _MERGE_AT:
-                        yield emit()
-                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = np.concatenate([np.zeros(0, np.int64), *waiting])
-        keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
-        if len(keys):
-            yield emit()
-
-    return count
-
-
 def with_ends(values: np.ndarray, sizes: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
     """The values of each text followed by `end`, and where each text begins."""
     ends = np.cumsum(sizes)
@@ -144,45 +54,151 @@ def with_ends(values: np.ndarray, sizes: np.ndarray, end) -> tuple[np.ndarray, n
     return out, ends - sizes + np.arange(len(sizes))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, sorted; where one of each is; the number of each key's. np.unique takes three times the memory."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    inverse = np.empty(len(keys), dtype=np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], order[new], inverse
+
+
+class _Block:
+    """The tokens of a block's texts, its distinct words and its distinct pairs."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        texts = column.combine_chunks()
+        parts = [textkit.words(texts.slice(i, j - i)) for i, j in textkit.slices(texts)]
+        words, sizes = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.uint64, np.int64), zip(*parts)))
+        tokens, self.first = with_ends(words, sizes, EDGE)
+        self.sizes = sizes + 1
+        self.words, _, self.numbers = _distinct(tokens)
+        # the token before a text's first is the end of another text: the same edge
+        self.before = np.roll(self.numbers, 1)
+
+    def pair(self) -> None:
+        """Hashes of distinct pairs, sorted; the numbers of their words; the number of the pair that each token ends."""
+        hashes = self.words[self.before]
+        hashes *= _FACTOR
+        hashes += self.words[self.numbers]
+        self.pairs, at, self.ended = _distinct(textkit.mix(hashes))
+        self.source, self.target = self.before[at], self.numbers[at]
+
+    def read(self, known: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of the block's words, in their order; the training count of each pair, 0 for no arc; whether the block owns it."""
+        self.pair()
+        is_word = pc.is_null(known.column("bucket"))
+        words, packs = known.filter(is_word), known.filter(pc.invert(is_word)).sort_by("bucket")
+        words = words.take(np.argsort(np.asarray(words.column("word")).view(np.uint64)))
+        values = np.concatenate([np.zeros(0, np.int64), *map(_unpacked, packs.column("counts").to_pylist())])
+        if len(words) != len(self.words) or len(values) != len(self.pairs):
+            raise ValueError("the texts have changed between two readings")
+        return words, values >> 1, (values & 1).astype(bool)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, which compress where they repeat."""
+    return values.astype(">i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(">i8").ravel().astype(np.int64)
+
+
+def _learned(block: pa.Table, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(~np.asarray(block.column("held_out")), sizes)
+
+
+def _count_words(block: pa.Table) -> pa.Table:
+    own = _Block(block.column("text"))
+    n = np.bincount(own.numbers, _learned(block, own.sizes), len(own.words)).astype(np.int64)
+    return pa.table({"block": np.full(len(n), block.column("block")[0].as_py(), np.int64), "word": own.words.view(np.int64), "n": n})
+
+
+def _pair_packer(buckets: int):
+    def pack(block: pa.Table) -> pa.Table:
+        own = _Block(block.column("text"))
+        own.pair()
+        n = np.bincount(own.ended, _learned(block, own.sizes), len(own.pairs)).astype(np.int64)
+        bucket = ((own.pairs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        numbers, begins = np.unique(bucket, return_index=True)
+        parts = list(zip(begins, [*begins[1:], len(n)]))
+        return pa.table({
+            "block": np.full(len(parts), block.column("block")[0].as_py(), np.int64), "bucket": numbers.astype(np.int64),
+            "pairs": pa.array([_packed(own.pairs[i:j].view(np.int64)) for i, j in parts], pa.binary()), "counts": pa.array([_packed(n[i:j]) for i, j in parts], pa.binary()),
+        })
+
+    return pack
+
+
+def _sum_pairs(packs: pa.Table) -> pa.Table:
+    """Each pack's pairs with twice their sum over all packs, and 1 more in the pack that owns it; 0 if it is no arc."""
+    blocks = np.asarray(packs.column("block")).view(np.uint64)
+    packs = packs.take(np.argsort(textkit.mix(blocks * _FACTOR + np.uint64(packs.column("bucket")[0].as_py()))))  # owners change from bucket to bucket
+    pairs = [_unpacked(x) for x in packs.column("pairs").to_pylist()]
+    ends = np.cumsum([len(x) for x in pairs])
+    n = np.concatenate([_unpacked(x) for x in packs.column("counts").to_pylist()])
+    kinds, _, inverse = _distinct(np.concatenate(pairs))
+    owner = np.empty(len(kinds), dtype=np.int64)
+    owner[inverse[::-1]] = np.arange(len(inverse))[::-1]  # the first pack that holds the pair
+    c = np.bincount(inverse, n, len(kinds)).astype(np.int64)
+    values = 2 * c[inverse]
+    values[owner] += 1
+    values[c[inverse] < LEAST] = 0
+    return pa.table({"block": packs.column("block"), "bucket": packs.column("bucket"), "counts": pa.array([_packed(x) for x in np.split(values, ends[:-1])], pa.binary())})
+
+
+def _masses(texts_of: pa.Table, known_of: pa.Table) -> pa.Table:
+    """For each first word of arcs that the block owns: how many, their counts and the counts of their second words."""
+    own = _Block(texts_of.column("text"))
+    words, n, owned = own.read(known_of)
+    c, source = np.asarray(words.column("c")), own.source[owned]
+    sums = [np.bincount(source, x, len(c)).astype(np.int64) for x in (None, n[owned], c[own.target[owned]])]
+    at = np.flatnonzero(sums[0])
+    return pa.table({"word": own.words[at].view(np.int64), **{k: x[at] for k, x in zip(("k", "taken", "covered"), sums)}})
+
+
+def _scorer(tokens: int, total: float):
+    def score_block(texts_of: pa.Table, known_of: pa.Table) -> pa.Table:
+        own = _Block(texts_of.column("text"))
+        words, n, _ = own.read(known_of)
+        c = np.asarray(words.column("c"))
+        base = np.log10((c + ADDED) / total)[own.numbers]
+        full = base + np.asarray(words.column("failure"))[own.before]
+        hit = n[own.ended] > 0
+        arcs = own.ended[hit]
+        full[hit] = np.log10((n[arcs] - DISCOUNT) / c[own.source[arcs]])
+        sums = lambda x: np.add.reduceat(x, own.first) if len(own.first) else x
+        return pa.table({
+            "doc_id": texts_of.column("doc_id"), "held_out": texts_of.column("held_out"), "n_tokens": own.sizes, "n_known": sums((c[own.numbers] > 0).astype(np.int64)),
+            "train_tokens": np.full(len(own.sizes), tokens), "base_score": np.round(sums(base), 6), "score": np.round(sums(full), 6),
+        })
+
+    return score_block
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of `docs` (doc_id, text)."""
     rows = _texts(docs)
-    size, texts = rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
-    blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, buckets = (max(1, -(-size // x)) for x in (BLOCK_BYTES, BUCKET_BYTES))
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    found = placed.groupBy("block").applyInArrow(_count_words, "block long, word long, n long")
+    by_block = placed.groupBy("block")
+    found = by_block.applyInArrow(_count_words, "block long, word long, n long")
     of_word = Window.partitionBy("word")
-    known = stored(found.select("block", "word", "n", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("lead")), "words")
-    tokens, types = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("lead") & (F.col("c") > 0))).first()
-    tokens, types = tokens + texts, types + (texts > 0)
-
-    frequent = known.filter(F.col("lead") & (F.col("c") >= max(1, tokens * STATE_SHARE))).select("word", "c").toArrow()  # at most 1 / STATE_SHARE rows
-    words, counts = np.asarray(frequent.column("word")).view(np.uint64), np.asarray(frequent.column("c"))
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    pairs = rows.filter(~F.col("held_out")).select("text").mapInArrow(_pair_counter(words), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    arcs = pairs.filter(F.col("n") >= max(2, tokens * ARC_SHARE)).toArrow()  # at most 1 / ARC_SHARE rows
-    model = docs.sparkSession.sparkContext.broadcast(Automaton(words, counts, tokens, types, texts, np.asarray(arcs.column("pair")), np.asarray(arcs.column("n"))))
-
-    def score_block(texts_of: pa.Table, words_of: pa.Table) -> pa.Table:
-        automaton = model.value
-        hashes, sizes = textkit.words(texts_of.column("text"))
-        kinds = np.asarray(words_of.column("word")).view(np.uint64)
-        by_hash = np.argsort(kinds)
-        kinds, c = kinds[by_hash], np.asarray(words_of.column("c"))[by_hash]
-        at = np.searchsorted(kinds, hashes)
-        at, first = with_ends(at, sizes, len(kinds))
-        c = np.append(c, automaton.texts)
-        roots = automaton.root(c)
-        numbers = np.append(automaton.number(kinds), automaton.edge)
-        spans = sizes + 1
-        total = lambda x: np.add.reduceat(x, first) if len(first) else x
-        base = total(roots[at])
-        full = total(automaton.traverse(numbers[at], roots[at], first))
-        return pa.table({
-            "doc_id": texts_of.column("doc_id"), "held_out": texts_of.column("held_out"), "n_tokens": spans, "n_known": total((c[at] > 0).astype(np.int64)),
-            "train_tokens": np.full(len(spans), automaton.tokens), "base_score": np.round(base, 6), "score": np.round(full, 6),
-        })
-
-    scored = placed.groupBy("block").cogroup(known.select("block", "word", "c").groupBy("block"))
-    return scored.applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    known = stored(found.select("block", "word", F.sum("n").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("lead")), "words")
+    tokens, types = known.filter("lead").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    total = tokens + ADDED * (types + 1)
+
+    packs = by_block.applyInArrow(_pair_packer(buckets), "block long, bucket long, pairs binary, counts binary")
+    pairs = stored(packs.groupBy("bucket").applyInArrow(_sum_pairs, "block long, bucket long, counts binary"), "pairs")
+    held = lambda words: words.unionByName(pairs, allowMissingColumns=True).groupBy("block")
+    found = by_block.cogroup(held(known.select("block", "word", "c"))).applyInArrow(_masses, "word long, k long, taken long, covered long")
+    masses = stored(found.groupBy("word").agg(*(F.sum(x).alias(x) for x in ("k", "taken", "covered"))), "masses")
+    rest = 1 - (F.col("taken") - DISCOUNT * F.col("k")) / F.col("c")
+    outside = 1 - (F.col("covered") + ADDED * F.col("k")) / F.lit(total)
+    failure = F.when((rest > 0) & (outside > 0), F.log10(rest / outside)).otherwise(0.0)
+    words = known.join(masses, "word", "left").select("block", "word", "c", failure.alias("failure"))
+    return by_block.cogroup(held(words)).applyInArrow(_scorer(tokens, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -116,6 +116,17 @@ def test_scores(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_rare_pairs_stay_arcs(spark, monkeypatch):
+    rows = [(1, "a b " * 150_000), (2, "rare pair"), (3, "rare pair"), (4, "a pair")]
+    assert not any(zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    assert got[2]["score"] == got[3]["score"] == round(math.log10(1.5 / 4) + math.log10(1.5 / 2) + math.log10(2.5 / 3), 6)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 150_000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 100_000)
+    assert {r["doc_id"]: r for r in lm.score(docs).collect()} == got
+
+
 def test_token_ids(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
     rng = random.Random(2)
