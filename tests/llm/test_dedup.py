@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -93,3 +94,9 @@ def test_signatures_estimate_similarity():
             s = dedup.signatures(np.concatenate([u[:n], u[n - k :]]), np.array([n, n]))
             errors.append((s[0] == s[1]).mean() - k / (2 * n - k))
         assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.04
+
+
+def test_short_signatures_rarely_lose_a_true_pair():
+    for t, bound in ((0.85, 1e-6), (0.80, 5e-6)):
+        need = math.ceil(round((t - dedup.MARGIN) * dedup.SLOTS, 9))
+        assert sum(math.comb(dedup.SLOTS, k) * t**k * (1 - t) ** (dedup.SLOTS - k) for k in range(need)) < bound
