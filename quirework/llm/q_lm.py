@@ -9,7 +9,7 @@ from quirework.llm.shared import table
 
 
 def op9_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), stable=True)
 
 
 QUERIES = {"op9_automaton": op9_automaton}
