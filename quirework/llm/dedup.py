@@ -2,25 +2,26 @@
 
 `near_duplicates` takes the distinct five-word shingles of whole texts. Its steps:
 
-1. One pass over the texts makes for each document the number of shingles, a 128-bit fingerprint of its set and a
-   SuperMinHash signature. All elements of a batch advance together, one permutation rank a round; a document stops
+1. One pass over the texts makes for each row the number of shingles, a 128-bit fingerprint of its set and a
+   SuperMinHash signature. All elements of a batch advance together, one permutation rank a round; a row stops
    as soon as every slot holds a smaller rank than the next one, which for long texts is after the first round.
-2. Documents with equal sets collapse to the smallest doc_id, with partial aggregation, before anything else.
+2. Rows with equal sets collapse to one vertex, the smallest row mark, with partial aggregation, before anything else.
 3. Banding: in each bucket (band, hash) the member that meets most others over all its buckets leads: the likeliest
    centre of its group. Every other member makes a pair with it, so rows stay linear in the size of a bucket. Pairs are
    verified on the full sets, built again from the whole texts.
 4. Verified links are closed by alternating large-star and small-star steps. A bucket that then still holds several
-   components has pairs that its leader has not tested: blocks of its members meet two by two, and pairs of different
-   components are verified too, in cells that hold each text once, so no candidate pair goes untested. Short signatures, a byte a slot, must agree in a
-   share of slots of at least the threshold less MARGIN first: by the binomial over the slots a true pair at the threshold
-   misses that with a probability of 2e-7 at 0.85 and 2e-6 at 0.80.
+   components has pairs that its leader has not tested. Its members fall in blocks of bounded number and size, each large
+   component in blocks of its own, and blocks that can hold pairs of different components meet two by two: every such
+   pair whose sizes allow the similarity is verified on the full sets, in cells that hold each text once.
 5. Components are closed once more and handed back to all copies.
 
-With 25 bands of five slots a pair at the threshold of 0.85 meets in no band with probability 4e-7, at 0.80 with 5e-5.
+So every pair that shares a bucket is either verified, or in one component already, or too different in size. A pair is
+lost only if it meets in no band: with 25 bands of five slots at the threshold of 0.85 with probability 4e-7, at 0.80 with
+5e-5.
 
 Defined results: a null or blank text has an empty set, no links and itself as its component. Rows with the same
-doc_id are one vertex. A row without doc_id can be linked and then takes the smallest id of its component, else null;
-it is kept only in the latter case.
+doc_id and words are one vertex, whatever their texts. A row without doc_id is a vertex of its own and takes the smallest id of
+its component, null if that has none; it is kept only in the latter case.
 """
 
 from __future__ import annotations
@@ -34,16 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import textkit
-from quirework.llm.shared import cut, stored
+from quirework.llm.shared import cut, fix_splits, stored
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 THRESHOLD_PERCENT = 85
-#: Pairs whose short signatures agree in a share of places this much below the threshold aren't verified.
-MARGIN = 0.18
-#: Members of a bucket that meet in one task, on each side.
-BLOCK_MEMBERS = 1024
+#: About so many members of a bucket, and so many shingles of theirs, meet in one task on each side.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 200_000
 _FACTORS = textkit.mix(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 
@@ -108,30 +107,24 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, slots: int = SLOTS) -> n
     return out
 
 
+_FEATURES = "n_shingles long, fp_a long, fp_b long, bands array<long>"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("short", pa.binary())])
+    """The other columns of the rows (text, …) and the features of their texts."""
     powers = textkit.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text")
+        texts, others = batch.column("text"), [c for c in batch.schema.names if c != "text"]
         for a, b in textkit.slices(texts):
             sets, sizes = shingle_sets(texts.slice(a, b - a))
             sig = signatures(sets, sizes)
             bands = textkit.mix((sig.reshape(b - a, BANDS, ROWS) * powers).sum(axis=2)).view(np.int64)
-            short = (textkit.mix(sig) >> np.uint64(56)).astype(np.uint8)
             ends = np.cumsum(sizes)
             prints = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) for e, n in zip(ends, sizes)]
             halves = np.frombuffer(b"".join(prints), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(a, b - a),
-                    pa.array(sizes),
-                    pa.array(halves[:, 0].copy()),
-                    pa.array(halves[:, 1].copy()),
-                    pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32), pa.array(bands.reshape(-1))),
-                    pa.array([x.tobytes() for x in short], type=pa.binary()),
-                ],
-                schema=schema,
-            )
+            lists = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32), pa.array(bands.reshape(-1)))
+            columns = [batch.column(c).slice(a, b - a) for c in others]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists], names=[*others, "n_shingles", "fp_a", "fp_b", "bands"])
 
 
 def _verifier(percent: int):
@@ -154,21 +147,19 @@ def _verifier(percent: int):
     return verify
 
 
-_CELLS = pa.schema([("cell", pa.int64()), ("doc_id", pa.int64()), ("pairs", pa.binary())])
+_CELLS = pa.schema([("cell", pa.int64()), ("rep", pa.int64()), ("pairs", pa.binary())])
 
 
 def _comparer(percent: int):
-    """Pairs of like signatures and sizes, in different components, of one bucket's blocks `i` and `j`.
+    """Pairs of different components and of sizes that allow the similarity, of one bucket's blocks `i` and `j`.
 
     They leave as one packed row for the cell (the two blocks) and a row for each document in them, so a text is sent to a
     cell once, however many of its pairs there are.
     """
-    least = percent / 100 - MARGIN
 
     def compare(group: pa.Table) -> pa.Table:
         band, bucket, i, j = (group.column(c)[0].as_py() for c in ("band", "hash", "i", "j"))
         block, rep, component, size = (np.asarray(group.column(c)) for c in ("block", "rep", "component", "n_shingles"))
-        short = np.frombuffer(b"".join(group.column("short").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
         bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
         rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
@@ -178,59 +169,77 @@ def _comparer(percent: int):
             if i == j:
                 fit &= rep[x, None] < rep[columns]
             p, q = np.nonzero(fit)
-            p, q = x[p], columns[q]
-            for part in range(0, len(p), 1 << 16):
-                u, v = p[part : part + (1 << 16)], q[part : part + (1 << 16)]
-                like = (short[u] == short[v]).sum(axis=1) >= least * SLOTS
-                u, v = u[like], v[like]
-                new = ~(bands[u, :band] == bands[v, :band]).any(axis=1)  # a bucket of an earlier band has emitted the others
-                out.append(np.stack([np.minimum(rep[u[new]], rep[v[new]]), np.maximum(rep[u[new]], rep[v[new]])]))
+            u, v = x[p], columns[q]
+            new = ~(bands[u, :band] == bands[v, :band]).any(axis=1)  # a bucket of an earlier band has emitted the others
+            out.append(np.stack([rep[u[new]], rep[v[new]]]))
         pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         if not pairs.size:
             return _CELLS.empty_table()
         cell = np.int64(xxhash.xxh3_64_intdigest(repr((band, bucket, i, j))) >> 1)
         docs = np.unique(pairs)
-        return pa.table({"cell": np.full(len(docs) + 1, cell), "doc_id": pa.array([*docs.tolist(), None], type=pa.int64()), "pairs": pa.array([None] * len(docs) + [pairs.astype("<i8").tobytes()], type=pa.binary())})
+        return pa.table({"cell": np.full(len(docs) + 1, cell), "rep": pa.array([*docs.tolist(), None], type=pa.int64()), "pairs": pa.array([None] * len(docs) + [pairs.astype("<i8").tobytes()], type=pa.binary())})
 
     return compare
 
 
+def common(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How many elements each pair (u, v) of sets has in common: by products of a 0/1 matrix where pairs are many, else one by one."""
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, number, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1  # an element of one set only is in no intersection
+    keep = shared[number]
+    column, owner = (np.cumsum(shared) - 1)[number[keep]], owner[keep]
+    width = int(shared.sum())
+    if len(sets) ** 2 * width * 1e-10 > (sizes[u] + sizes[v]).sum() * 2e-8:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(u, v)])
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for start in range(0, width, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        part = np.zeros((len(sets), min(4096, width - start)), dtype=np.float32)
+        part[owner[a:b], column[a:b] - start] = 1
+        total += part @ part.T
+    return total[u, v].astype(np.int64)
+
+
 def _cell_verifier(percent: int):
     def verify(packed: pa.Table, docs: pa.Table) -> pa.Table:
-        """The similar pairs of a cell; each set is made once, and pairs that links already connect are passed over."""
-        texts = docs.column("text").combine_chunks()
-        sets: dict[int, list[np.ndarray]] = {}
-        ids = docs.column("doc_id").to_pylist()
-        for start, stop in textkit.slices(texts):
-            flat, sizes = shingle_sets(texts.slice(start, stop - start))
-            for k, part in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
-                sets.setdefault(ids[start + k], []).append(part)
-        root = {i: i for i in sets}
+        """Links of a cell's pairs, without those between documents that earlier links connect."""
+        ids, sets = [], []
+        for texts, reps in zip(docs.column("text").chunks, docs.column("rep").chunks):
+            for start, stop in textkit.slices(texts):
+                flat, sizes = shingle_sets(texts.slice(start, stop - start))
+                sets += np.split(flat, np.cumsum(sizes)[:-1])
+            ids += reps.to_pylist()
+        place = np.argsort(ids)
+        ranked = np.array(ids)[place]
+        pairs = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in packed.column("pairs").to_pylist()], axis=1)
+        u, v = (place[np.searchsorted(ranked, x)] for x in pairs)
+        root = list(range(len(sets)))
 
         def find(i: int) -> int:
             while root[i] != i:
                 root[i] = i = root[root[i]]
             return i
 
-        linked: list[tuple[int, int]] = []
-        for block in packed.column("pairs").to_pylist():
-            for a, b in np.frombuffer(block, "<i8").reshape(2, -1).T.tolist():
-                if a not in sets or b not in sets or find(a) == find(b):
-                    continue
-                for x in sets[a]:
-                    for y in sets[b]:
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if both and 100 * both >= percent * (len(x) + len(y) - both) and find(a) != find(b):
-                            root[find(a)] = find(b)
-                            linked.append((a, b))
-        return pa.table({"a": pa.array([x for x, _ in linked], type=pa.int64()), "b": pa.array([x for _, x in linked], type=pa.int64())})
+        sizes = np.array([len(s) for s in sets])
+        linked = []
+        both = common(sets, u, v)
+        for k in np.flatnonzero((both > 0) & (100 * both >= percent * (sizes[u] + sizes[v] - both))):
+            a, b = find(u[k]), find(v[k])
+            if a != b:
+                root[a] = b
+                linked.append(k)
+        return pa.table({"a": pairs[0, linked], "b": pairs[1, linked]})
 
     return verify
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent), "a long, b long").distinct())
 
 
@@ -253,20 +262,47 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _untested(members: DataFrame, reach: DataFrame, percent: int) -> DataFrame:
-    """Pairs of like signatures that share a bucket but no component, by cell; blocks of a bucket meet two by two."""
-    owned = members.join(reach.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = owned.groupBy("band", "hash").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).filter("k > 2 and low <> high")
-    blocks = F.ceil(F.col("k") / BLOCK_MEMBERS).cast("int")
-    held = owned.join(open_.select("band", "hash", blocks.alias("blocks")), ["band", "hash"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meetings = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return meetings.groupBy("band", "hash", "i", "j").applyInArrow(_comparer(percent), "cell long, doc_id long, pairs binary")
-
+    """Pairs of different components that share a bucket, by cell.
 
-def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of `docs` (doc_id long, text string; others are ignored)."""
-    feats = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>, short binary"))
-    exact = feats.filter("n_shingles > 0").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"))
-    reps = cut(feats.join(exact.filter("rep is not null").select("fp_a", "fp_b", F.col("rep").alias("doc_id")), ["fp_a", "fp_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "short"))
+    A bucket's blocks are numbered: first those of its large components, one after the other, then those that its
+    other members share. A member meets all blocks but those of its own large component.
+    """
+    bucket = ["band", "hash"]
+    owned = members.join(reach.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sized = owned.groupBy(*bucket, "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    blocks_of = lambda n, s: F.greatest(F.ceil(n / BLOCK_MEMBERS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    large = F.col("n") >= BLOCK_MEMBERS
+    # a bucket of k members has at most k / BLOCK_MEMBERS large components
+    seen = F.array_sort(F.collect_list(F.when(large, F.struct("component", blocks_of(F.col("n"), F.col("s")).alias("blocks")))))
+    others = blocks_of(F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(~large, F.col("s"))), F.lit(0)))
+    plans = sized.groupBy(*bucket).agg(F.sum("n").alias("k"), F.count("*").alias("kinds"), seen.alias("large"), others.alias("others")).filter("k > 2 and kinds > 1")
+    taken = F.aggregate("large", F.lit(0), lambda s, x: s + x["blocks"])
+    held = owned.join(plans.withColumn("taken", taken).drop("k", "kinds"), bucket)
+    own = F.get(F.filter("large", lambda x: x["component"] == F.col("component")), F.lit(0))
+    begin = F.aggregate(F.filter("large", lambda x: x["component"] < F.col("component")), F.lit(0), lambda s, x: s + x["blocks"])
+    held = held.withColumn("begin", F.when(own.isNotNull(), begin).otherwise(F.col("taken"))).withColumn("width", F.coalesce(own["blocks"], "others"))
+    held = held.withColumn("block", (F.col("begin") + F.pmod(F.xxhash64("rep"), F.col("width"))).cast("int")).withColumn("mine", own.isNotNull())
+    meets = F.filter(F.sequence(F.lit(0), F.col("taken") + F.col("others") - 1), lambda b: ~(F.col("mine") & (b >= F.col("begin")) & (b < F.col("begin") + F.col("width"))))
+    meetings = held.select(*bucket, "rep", "component", "n_shingles", "bands", "block", F.explode(meets).alias("other")).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return meetings.drop("other").groupBy(*bucket, "i", "j").applyInArrow(_comparer(percent), "cell long, rep long, pairs binary")
+
+
+def grouped(docs: DataFrame, percent: int = THRESHOLD_PERCENT, stable: bool = False, unite_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, group (null for an empty set), low (the group's smallest doc_id) and `carry` of each row of `docs`.
+
+    unite_ids: rows with the same doc_id are linked. The texts are read twice and must come in the same partitions and order:
+    stable says that `docs` is the plain scan of a table, which does; else it is stored first.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in carry))
+    fix_splits(docs.sparkSession)
+    rows = (rows if stable else stored(rows, "texts")).withColumn("mark", F.monotonically_increasing_id())
+    rows = rows.withColumn("check", F.xxhash64("text"))
+    others = rows.drop("text").schema
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    feats = cut(rows.mapInArrow(_features, f"{declared}, {_FEATURES}"))
+    exact = feats.filter("n_shingles > 0").groupBy("fp_a", "fp_b").agg(F.min("mark").alias("rep"), F.min("doc_id").alias("low"))
+    exact = cut(exact)
+    reps = cut(feats.withColumnRenamed("mark", "rep").join(exact.select("rep"), "rep", "left_semi").select("rep", "n_shingles", "bands", "check"))
     placed = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
     shared = placed.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1")
     met = cut(placed.join(shared, ["band", "hash"]))
@@ -274,19 +310,40 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     degrees = met.groupBy("rep").agg(F.sum("n").alias("degree"))
     met = met.select("band", "hash", "rep").join(degrees, "rep")
     leaders = met.groupBy("band", "hash").agg((-F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).minus).alias("a"))
-    members = cut(met.join(leaders, ["band", "hash"]).join(reps, "rep"))
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(degrees.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    members = cut(met.join(leaders, ["band", "hash"]).join(reps.drop("check"), "rep"))
+    wanted = degrees.select("rep").join(reps.select("rep", F.col("check").alias("_check")), "rep")
+    same = F.when(F.col("check") == F.col("_check"), F.col("text")).otherwise(F.raise_error(F.lit("the texts have changed between two readings")))
+    texts = stored(rows.select(F.col("mark").alias("rep"), "text", "check").join(wanted, "rep").select("rep", same.alias("text")), "texts")
 
     tested = cut(members.filter("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
     links = _verified(tested, texts, percent)
     reach = cut(components(links))
     rest = cut(_untested(members, reach, percent))
-    needed = rest.filter("doc_id is not null").select("cell", "doc_id").join(texts, "doc_id").select(F.col("cell").alias("at"), "doc_id", "text")
+    needed = rest.filter("rep is not null").select("cell", "rep").join(texts, "rep").select(F.col("cell").alias("at"), "rep", "text")
     more = cut(rest.filter("pairs is not null").select("cell", "pairs").groupBy("cell").cogroup(needed.groupBy("at")).applyInArrow(_cell_verifier(percent), "a long, b long"))
+    if unite_ids:
+        more = more.unionByName(_of_one_id(feats, exact))
     if not more.isEmpty():
         reach = cut(components(links.unionByName(more)))
 
-    classes = exact.join(reach.withColumnRenamed("id", "rep"), "rep", "left").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("class"))
-    found = feats.select("doc_id", "n_shingles", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id"))
+    classes = exact.join(reach.withColumnRenamed("id", "rep"), "rep", "left").select("fp_a", "fp_b", F.coalesce("component", "rep").alias("group"), "low")
+    lows = classes.groupBy("group").agg(F.min("low").alias("low"))
+    classes = classes.drop("low").join(lows, "group")
+    full = F.when(F.col("n_shingles") > 0, F.col("fp_a")).alias("fp_a")
+    return feats.select("doc_id", "n_shingles", full, "fp_b", *carry).join(classes, ["fp_a", "fp_b"], "left").select("doc_id", "n_shingles", "group", "low", *carry)
+
+
+def _of_one_id(feats: DataFrame, exact: DataFrame) -> DataFrame:
+    """Links (a, b) between the vertices of rows that have one doc_id and different sets."""
+    known = feats.filter("doc_id is not null and n_shingles > 0").select("doc_id", "fp_a", "fp_b")
+    several = known.groupBy("doc_id").agg(F.min(F.struct("fp_a", "fp_b")).alias("x"), F.max(F.struct("fp_a", "fp_b")).alias("y")).filter("x <> y").select("doc_id")
+    held = known.join(several, "doc_id", "left_semi").distinct().join(exact.select("fp_a", "fp_b", "rep"), ["fp_a", "fp_b"])
+    first = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return cut(held.join(first, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, stable: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of `docs` (doc_id long, text string; others are ignored)."""
+    found = grouped(docs, percent, stable, unite_ids=True)
+    component = F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

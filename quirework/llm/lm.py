@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import textkit
-from quirework.llm.shared import stored
+from quirework.llm.shared import fix_splits, stored
 
 BLOCK_BYTES = 8 << 20
 #: Text whose n-grams are summed in one task.
@@ -237,6 +237,7 @@ def score(docs: DataFrame, stable: bool = False, block_bytes: int = BLOCK_BYTES,
     table, which does; else it is stored first.
     """
     rows = _texts(docs)
+    fix_splits(docs.sparkSession)
     rows = rows if stable else stored(rows, "lm-texts")
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     packs = rows.select("doc_id", "held_out", "text").mapInArrow(_packer(max(1, -(-size // bucket_bytes)), block_bytes), "block long, bucket long, n int, grams binary, counts binary")

@@ -9,7 +9,7 @@ from quirework.llm.shared import table
 
 
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, stable=True)
 
 
 QUERIES = {"op7_superminhash": op7_superminhash}

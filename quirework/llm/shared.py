@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,17 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir. Where none is set, one of our own on a single machine; on a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="quirework-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="quirework-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def fix_splits(spark: SparkSession) -> None:
+    """From now on the session's scans split files alike, whatever executors come and go between two readings."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/quirework/{what}-{uuid.uuid4().hex}"

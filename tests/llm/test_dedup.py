@@ -1,4 +1,3 @@
-import math
 import random
 
 import numpy as np
@@ -96,7 +95,41 @@ def test_signatures_estimate_similarity():
         assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.04
 
 
-def test_short_signatures_rarely_lose_a_true_pair():
-    for t, bound in ((0.85, 1e-6), (0.80, 5e-6)):
-        need = math.ceil(round((t - dedup.MARGIN) * dedup.SLOTS, 9))
-        assert sum(math.comb(dedup.SLOTS, k) * t**k * (1 - t) ** (dedup.SLOTS - k) for k in range(need)) < bound
+def test_rows_of_one_doc_id_are_one_vertex(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(0, a), (1, a), (1, b), (2, b), (7, c), (1, ""), (9, None)]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got) == [(0, 3, 0), (1, 0, 1), (1, 3, 0), (1, 3, 0), (2, 3, 0), (7, 3, 7), (9, 0, 9)]
+
+
+def test_rows_without_doc_id_are_linked(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base, "x"])
+    got = dedup.near_duplicates(spark.createDataFrame([(None, near), (4, " ".join(base)), (None, "p q r s t u"), (6, " ".join([*base, "y"]))], "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=repr) == [(4, 4, True), (6, 4, False), (None, 4, False), (None, None, True)]
+
+
+def test_blocks_of_large_buckets_meet(spark, monkeypatch):
+    rng = random.Random(12)
+    rows, n = [], 0
+    base = [f"w{i}" for i in range(90)]
+    for _ in range(5):
+        core = list(base)
+        for _ in range(4):
+            core[rng.randrange(90)] = f"y{rng.randrange(9)}"
+        for _ in range(40):
+            words = list(core)
+            for _ in range(rng.randrange(7)):
+                words[rng.randrange(90)] = f"z{rng.randrange(900)}"
+            rows.append((n, " ".join(words)))
+            n += 1
+    monkeypatch.setattr(dedup, "BLOCK_MEMBERS", 8)
+    assert rows_of(dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)) == brute(rows, 80)
+
+
+def test_common_elements_by_both_ways(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(30)]
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(30)))
+    want = [len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(u, v)]
+    assert dedup.common(sets, u, v).tolist() == want and dedup.common(sets, u[:1], v[:1]).tolist() == want[:1]
