@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import textkit
-from quirework.llm.shared import fix_splits, stored
+from quirework.llm.shared import fix_splits, stored, tasks_for
 
 BLOCK_BYTES = 8 << 20
 #: Text whose n-grams are summed in one task.
@@ -240,9 +240,11 @@ def score(docs: DataFrame, stable: bool = False, block_bytes: int = BLOCK_BYTES,
     fix_splits(docs.sparkSession)
     rows = rows if stable else stored(rows, "lm-texts")
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    tasks = tasks_for(docs.sparkSession, 3 * size)  # a text's n-grams take up to three times its bytes
     packs = rows.select("doc_id", "held_out", "text").mapInArrow(_packer(max(1, -(-size // bucket_bytes)), block_bytes), "block long, bucket long, n int, grams binary, counts binary")
-    sums = stored(packs.groupBy("bucket").applyInArrow(_sum_packs, "block long, bucket long, n int, sums binary, check long, types long, tokens long"), "lm-sums")
+    sums = stored(packs.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_sum_packs, "block long, bucket long, n int, sums binary, check long, types long, tokens long"), "lm-sums")
     tokens, types = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     tagged = rows.select("doc_id", "held_out", "text").mapInArrow(_tagger(block_bytes), "block long, doc_id long, held_out boolean, text string")
     scorer = _scorer(tokens, tokens + ADDED * (types + 1))
-    return tagged.groupBy("block").cogroup(sums.select("block", "bucket", "n", "sums", "check").groupBy("block")).applyInArrow(scorer, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    held = sums.select("block", "bucket", "n", "sums", "check").repartition(tasks, "block")
+    return tagged.repartition(tasks, "block").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(scorer, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

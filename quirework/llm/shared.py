@@ -32,6 +32,11 @@ def fix_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
 
 
+def tasks_for(spark: SparkSession, size: int, limit: int = 64 << 20) -> int:
+    """Tasks of a shuffle of `size` bytes so that each reads about `limit` at most, however large the input grows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // limit))
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/quirework/{what}-{uuid.uuid4().hex}"
