@@ -20,7 +20,8 @@ def _oracle() -> str:
     without = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
     vocabulary = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in q.COMMON_WORDS.items())
     langs = ", ".join(repr(x) for x in q.COMMON_WORDS)
-    words = ", ".join(["len(list_filter(w, lambda x: NOT list_contains(v, x))) AS w0"] + [f"len(list_filter(w, lambda x: x = v[{i}])) AS w{i}" for i in range(1, marks)])
+    runs = f"CASE WHEN len(v) > 0 THEN regexp_extract_all(translate(t, '{q._UPPER}', '{q._LOWER}'), '{q.NO_LETTER.replace('[', '[^', 1)}') ELSE [] END"
+    words = ", ".join(["len(list_filter(u, lambda x: NOT list_contains(v, x))) AS w0"] + [f"len(list_filter(u, lambda x: x = v[{i}])) AS w{i}" for i in range(1, marks)])
 
     def distance(kind: str, n: int) -> str:
         p, r = (" + ".join(f"{a}{kind}{i}" for i in range(n)) for a in ("", "r"))
@@ -33,6 +34,7 @@ def _oracle() -> str:
         return f"CASE WHEN ({p}) > 0 AND ({r}) > 0 THEN sqrt(greatest(({' + '.join(terms)}) / 2 / ln(2), 0)) END"
 
     sums = ", ".join(f"CAST(sum({c}{i}) AS BIGINT) AS r{c}{i}" for c, n in (("c", classes), ("w", marks)) for i in range(n))
+    kept = " AND ".join(f"NOT coalesce({rule}, false)" for rule in q.rejections(char="cd", word="wd"))
     distances = f"{distance('c', classes)} AS cd, {distance('w', marks)} AS wd"
     return rf"""
 WITH base AS (
@@ -51,7 +53,7 @@ WITH base AS (
   SELECT doc_id, lang, len(w) AS n_words, length(t) AS n_chars, {without(q.SPACE)} AS c6, length(t) - length(regexp_replace(t, '{q.SYMBOLS}', '', 'g')) AS c5,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, {without(q.CLASSES['upper'])} AS c1, {without(q.CLASSES['wide'])} AS c2, {without(q.CLASSES['digit'])} AS c3, {without(q.CLASSES['punct'])} AS punct,
     coalesce(lang IN ({langs}), false) AS known, coalesce(covered.n, 0) AS n_repeat_words, {words}
-  FROM base LEFT JOIN covered USING (doc_id)
+  FROM (SELECT *, {runs} AS u FROM base) LEFT JOIN covered USING (doc_id)
 ), cells AS (
   SELECT *, n_chars - c6 - c1 - c2 - c3 - punct AS c0, punct - c5 AS c4,
     n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM parts
@@ -66,8 +68,7 @@ WITH base AS (
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars - c6 AS BIGINT) AS word_chars, CAST(c5 AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(n_words >= {q.MIN_WORDS_CHARS} AND cd > {q.MAX_CHAR_DISTANCE}, false)
-    AND NOT coalesce(n_words >= {q.MIN_WORDS_BOTH} AND cd > {q.MAX_CHAR_DISTANCE} AND wd > {q.MAX_WORD_DISTANCE}, false) AS kept,
+  NOT base_failed AND {kept} AS kept,
   round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
 FROM judged
 """
