@@ -14,7 +14,7 @@ def op6_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op6_pareto": op6_pareto}
 
-#: Levels by the same running sums over sources; the prefix by one ordered sum for each source.
+#: Levels by running sums over sources, inclusion odds by running sums over sizes; the prefix by one ordered sum for each source.
 ORACLE_SQL = {
     "op6_pareto": r"""
 WITH sized AS (
@@ -37,15 +37,23 @@ WITH sized AS (
   SELECT source, source_size, n, CASE WHEN source_size = 0 THEN 0.0 ELSE least(lv * weight, CAST(3 * source_size AS DOUBLE)) END AS target FROM at_level
 ), split AS (
   SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS whole, target - CAST(floor(target / greatest(source_size, 1)) AS BIGINT) * source_size AS rest FROM aimed
+), sizes AS (
+  SELECT source, size, count(*) AS n FROM sized WHERE size > 0 GROUP BY ALL
+), tried AS (
+  SELECT z.source, z.size, (s.rest - CAST(coalesce(sum(z.n * z.size) OVER (PARTITION BY z.source ORDER BY z.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / CAST(sum(CAST(z.n AS HUGEINT) * z.size * z.size) OVER (PARTITION BY z.source ORDER BY z.size) AS DOUBLE) AS c
+  FROM sizes z JOIN split s ON z.source IS NOT DISTINCT FROM s.source WHERE s.rest > 0
+), odds AS (
+  SELECT source, max(size) AS largest, arg_max(c, size) AS c FROM tried WHERE c > 0 AND c * size < 1 GROUP BY source
 ), ranked AS (
-  SELECT d.doc_id, d.size, s.source_size, s.target, s.whole, s.rest, d.source,
-    CASE WHEN d.size > 0 AND s.rest > 0 THEN u / (1 - u) / ((rest / source_size) / (1 - (rest / source_size)) * (d.size * s.n / s.source_size)) END AS q
-  FROM sized d JOIN split s ON d.source IS NOT DISTINCT FROM s.source
+  SELECT d.doc_id, d.size, s.source_size, s.target, s.whole, s.rest, d.source, CASE WHEN d.size > 0 AND s.rest > 0 THEN
+    CASE WHEN o.largest IS NULL OR d.size > o.largest THEN -1.0 ELSE u / (1 - u) * ((1 - o.c * d.size) / (o.c * d.size)) END END AS q
+  FROM sized d JOIN split s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN odds o ON d.source IS NOT DISTINCT FROM o.source
 ), summed AS (
   SELECT *, sum(size) OVER (PARTITION BY source, q) AS tied,
     sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q ASC NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked
 ), counted AS (
-  SELECT *, whole + CASE WHEN q IS NOT NULL AND upto - tied + tied / 2.0 < rest THEN 1 ELSE 0 END AS c FROM summed
+  SELECT *, whole + CASE WHEN q IS NOT NULL AND (q < 0 OR upto - tied + tied / 2.0 < rest) THEN 1 ELSE 0 END AS c FROM summed
 )
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN greatest(c, 1) ELSE c END AS BIGINT) AS copies,
   CAST((CASE WHEN size = 0 THEN greatest(c, 1) ELSE c END) * size AS BIGINT) AS taken
