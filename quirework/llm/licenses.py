@@ -1,16 +1,18 @@
 """Licence scan by a positional index of rare words, with DataFrame functions only.
 
-One pass over the texts keeps for each document the places of the words that the licence templates index: a few numbers
-for most documents. Document frequencies over all documents order the words by rarity. For each template, a document's
-rarest template words (`RARE` at most) are looked up; each place votes for the offset at which the template would start,
-that is the place less the word's position in the template. An offset with two votes or more is a candidate; it is
-verified if all words of the template's mandatory key phrases stand at their places from that offset, by intersecting
-their shifted postings. Phrases are templates whose only key phrase is all of them, so every place of a phrase is found.
+A first pass counts in how many documents each word of the licence templates occurs; each template is then indexed by the
+`INDEXED` of its words with the highest IDF (the first position of each). A second pass looks up the places of
+these words in each document: each place votes for the offset at which the template would start, that is the place
+less the word's position in the template, so equal votes are the intersection of shifted postings. An offset with two votes or
+more is a candidate; it is verified if all of the template's mandatory key phrases stand there word by word, each moved by
+up to `SLACK` words, because names and list numbers differ between copies. A base phrase is a template that is indexed by
+all its words and is its own key phrase without slack, so every place of it is found.
 
-score: the largest share of a template's rare words that agree on one offset (0 below two votes).
+score: the largest share of a template's indexed words that agree on one offset (0 below two votes).
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows are scanned one by one; an empty
-table gives no rows. Work and memory are linear in the length of a text, but for sorting its votes.
+table gives no rows. Both passes are projections of one row (the first is followed by one count by word); work and memory are
+linear in the length of a text, but for sorting its votes.
 """
 
 from __future__ import annotations
@@ -20,108 +22,112 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.shared import cut
-
-#: The base phrases and their labels.
-PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label, template text and mandatory key phrases of longer notices.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("apache-2.0-header", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license version 2 0", "file except", "compliance"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution", "source", "binary forms", "following conditions"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-    ("gpl-header", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["free software", "gnu general public license", "free software foundation"]),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["hereby granted", "person obtaining", "software", "documentation files"]),
-    ("mit-notice", "released under the mit license", ["released", "mit license"]),
-]
-#: Words too common to be indexed, unless a key phrase asks for them.
-UNINDEXED = set("a and any are as can in is it met not of or that the this to under use with you".split())
-RARE = 4
+from quirework.llm.license_texts import PHRASES, TEMPLATES
+
+#: Words of a template that are indexed; of those in more than COMMON_SHARE of the documents only as many as FEWEST asks for.
+INDEXED, FEWEST, COMMON_SHARE = 8, 4, 0.05
 MIN_VOTES = 2
+SLACK = 3
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Template:
-    """A licence text: the first position of each indexed word and all (word, position) of its key phrases."""
+    """A licence text: the first position of each word, and (position, words) of its key phrases."""
 
     def __init__(self, label: str, text: str, phrases: list[str], base: bool = False):
-        self.label, self.base, words = label, base, text.split()
-        self.keys: list[tuple[str, int]] = []
+        self.label, self.base, self.slack = label, base, 0 if base else SLACK
+        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        self.first = {w: words.index(w) for w in words}
+        self.phrases = []
         for phrase in phrases:
             part = phrase.split()
-            start = next(i for i in range(len(words)) if words[i : i + len(part)] == part)
-            self.keys += [(w, start + i) for i, w in enumerate(part)]
-        wanted = {w for w, _ in self.keys}
-        self.first = {w: words.index(w) for w in words if w in wanted or w not in UNINDEXED}
+            self.phrases.append((next(i for i in range(len(words)) if words[i : i + len(part)] == part), part))
+
+    def indexed(self, frequency: dict[str, int], documents: int) -> list[str]:
+        """The words to index: all of a base phrase, else those in the fewest documents, but in any at all."""
+        if self.base:
+            return sorted(self.first)
+        ranked = sorted((w for w in self.first if frequency.get(w)), key=lambda w: (frequency[w], w))[:INDEXED]
+        return [w for k, w in enumerate(ranked) if k < FEWEST or frequency[w] <= COMMON_SHARE * documents]
 
 
 def templates() -> list[Template]:
     return [Template(label, phrase, [phrase], base=True) for phrase, label in PHRASES.items()] + [Template(*t) for t in TEMPLATES]
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for t in templates() for w in t.first})
-
-
 def folded(text: Column) -> Column:
     """The text with A-Z in lower case and nothing else changed."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and hits (w: number in the vocabulary, from 1; p: place) of each row."""
-    known = vocabulary()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(folded(F.coalesce(F.col("text").cast("string"), F.lit(""))), f"^{BREAK}|{BREAK}$", "").alias("text"))
-    rows = rows.select("doc_id", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", BREAK, -1)).alias("words"))
-    n = F.size("words")
-    at = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get("words", i).isin(known))
-    number = lambda i: F.array_position(F.array(*map(F.lit, known)), F.get("words", i)).cast("int")
-    return rows.select("doc_id", n.cast("long").alias("n_words"), F.transform(at, lambda i: F.struct(number(i).alias("w"), i.alias("p"))).alias("hits"))
+def words_of(text: Column) -> Column:
+    trimmed = F.regexp_replace(folded(F.coalesce(text.cast("string"), F.lit(""))), rf"\A{BREAK}|{BREAK}\z", "")
+    return F.transform(F.array(trimmed), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BREAK, -1)))[0]
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of `docs` (doc_id, text)."""
-    rows, known = cut(postings(docs)), vocabulary()
-    seen = rows.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").count()
-    frequency = {known[r["w"] - 1]: r["count"] for r in seen.collect()}  # one row for each word of the vocabulary at most
-    rarity = lambda w: (frequency.get(w, 0), w)
+def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """In how many documents each word occurs: one row for each word of the vocabulary at most comes to the driver."""
+    seen = docs.select(F.explode(F.array_distinct(F.filter(words_of(F.col("text")), lambda w: w.isin(vocabulary)))).alias("w"))
+    return {r["w"]: r["count"] for r in seen.groupBy("w").count().collect()}
 
-    def shifted(word: str, position: int) -> Column:
-        number = known.index(word) + 1
-        return F.transform(F.filter("hits", lambda h: h["w"] == number), lambda h: h["p"] - position)
-
-    def verified(t: Template) -> Column:
-        """Offsets at which all key words stand, the rarest looked up first."""
-        return reduce(F.array_intersect, (shifted(w, p) for w, p in sorted(t.keys, key=lambda k: (*rarity(k[0]), k[1]))))
-
-    def votes(t: Template) -> Column:
-        """Sorted votes of the document's rarest words of the template."""
-        order = sorted(t.first, key=rarity)
-        each = F.filter(F.array(*(shifted(w, t.first[w]) for w in order)), lambda x: F.size(x) > 0)
-        return F.sort_array(F.flatten(F.slice(each, 1, RARE)))
-
-    def agreed(column: str, k: int) -> Column:
-        """Offsets with k votes or more."""
-        return F.array_distinct(F.filter(F.col(column), lambda x, i: x == F.get(column, i + k - 1)))
 
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of `docs` (doc_id, text)."""
     every = templates()
-    few = rows.filter(F.size("hits") >= MIN_VOTES)
-    few = few.select("*", *(votes(t).alias(f"v{i}") for i, t in enumerate(every)), *(verified(t).alias(f"k{i}") for i, t in enumerate(every)))
-    labels, scores, places = [], [], []
+    frequency, documents = frequencies(docs, sorted({w for t in every for w in t.first})), docs.count()
+    index: dict[str, list[tuple[int, int]]] = {}
+    most = []
     for i, t in enumerate(every):
-        most = min(RARE, len(t.first))
-        found = F.array_intersect(agreed(f"v{i}", MIN_VOTES), F.col(f"k{i}"))
-        labels.append((t, F.size(found) > 0))
-        share = F.lit(0.0)
-        for k in range(MIN_VOTES, most + 1):
-            share = F.when(F.size(agreed(f"v{i}", k)) > 0, F.lit(k / most)).otherwise(share)
-        scores.append(share)
-        if t.base:
-            places.append(found)
-    named = lambda pairs: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(c, F.lit(t.label)) for t, c in pairs))))), ",")
-    starts = F.flatten(F.array(*places))
-    scanned = few.select("doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), named([x for x in labels if x[0].base]).alias("base_labels"), named(labels).alias("labels"), F.greatest(*scores).alias("score"))
-    nothing = rows.filter(F.size("hits") < MIN_VOTES).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
-    return scanned.unionByName(nothing)
+        chosen = t.indexed(frequency, documents)
+        most.append(max(len(chosen), 1))
+        for w in chosen:
+            index.setdefault(w, []).append((i, t.first[w]))
+    known = sorted(index)
+    postings = F.array(*(F.array(*(F.struct(F.lit(i).alias("t"), F.lit(p).alias("p")) for i, p in index[w])) for w in known))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+    n = F.size("words")
+    at = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get("words", i).isin(known))
+    rows = rows.select("doc_id", "words", n.cast("long").alias("n_words"), at.alias("at"))
+    number = lambda i: F.array_position(F.array(*map(F.lit, known)), F.get("words", i)).cast("int") - 1
+    shifted = F.flatten(F.transform("at", lambda i: F.transform(F.get(postings, number(i)), lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("o")))))
+    none = F.array().cast("array<struct<t:int,o:int>>")
+    rows = rows.withColumn("votes", F.when(F.size("at") >= MIN_VOTES, F.sort_array(shifted)).otherwise(none)).drop("at")
+    # runs of equal votes: where each begins, then how long it is
+    m = F.size("votes")
+    begins = F.when(m > 0, F.filter(F.sequence(F.lit(0), m - 1), lambda i: (i == 0) | (F.get("votes", i) != F.get("votes", i - 1)))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("begins", begins)
+    runs = F.transform("begins", lambda b, j: F.struct(F.get("votes", b)["t"].alias("t"), F.get("votes", b)["o"].alias("o"), (F.coalesce(F.get("begins", j + 1), m) - b).alias("n")))
+    rows = rows.withColumn("agreed", F.filter(runs, lambda r: r["n"] >= MIN_VOTES)).drop("votes", "begins")
+
+    def stands(t: Template, o: Column) -> Column:
+        """Whether all key phrases stand at the offset."""
+        def phrase(position: int, part: list[str]) -> Column:
+            here = lambda d: reduce(lambda x, y: x & y, (F.coalesce(F.get("words", o + d + (position + k)) == w, F.lit(False)) for k, w in enumerate(part)))
+            return here(F.lit(0)) if not t.slack else F.exists(F.array(*(F.lit(d) for d in range(-t.slack, t.slack + 1))), here)
+
+        return reduce(lambda x, y: x & y, (phrase(*p) for p in t.phrases))
+
+    def verified(r: Column) -> Column:
+        out = F.lit(False)
+        for i, t in enumerate(every):
+            out = F.when(r["t"] == i, stands(t, r["o"])).otherwise(out)
+        return out
+
+    rows = rows.withColumn("found", F.filter("agreed", verified)).drop("words")
+    is_base = lambda r: r["t"] < len(PHRASES)
+    rows = rows.withColumn("starts", F.transform(F.filter("found", is_base), lambda r: r["o"]))
+    label = lambda r: F.get(F.array(*(F.lit(t.label) for t in every)), r["t"])
+    named = lambda found: F.array_join(F.array_sort(F.array_distinct(F.transform(found, label))), ",")
+    share = F.array_max(F.transform("agreed", lambda r: r["n"].cast("double") / F.get(F.array(*(F.lit(float(x)) for x in most)), r["t"])))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size("starts").cast("long").alias("n_base"),
+        F.array_min("starts").cast("long").alias("first_word"),
+        F.array_max("starts").cast("long").alias("last_word"),
+        named(F.filter("found", is_base)).alias("base_labels"),
+        named(F.col("found")).alias("labels"),
+        F.coalesce(share, F.lit(0.0)).alias("score"),
+    )
