@@ -1,19 +1,21 @@
 """WARC archives of pages, and a globally ordered capture index by external merging of sorted runs.
 
-`write` makes one record of each page and lets Spark's text writer place them, in gzip archives of up to RECORDS_PER_FILE
-records; a record's trailing CRLF CRLF is the writer's line separator. Rows are sorted by URL key, time and page within
-their partition, so each archive is a locally sorted capture run. `read` parses archives by Content-Length and checks
-payload digests.
-`merged` orders the captures of all runs: key ranges are dealt to tasks, each task gets its slice of every run, still
+`write` makes one record of each page, each record a gzip member of its own, and packs members into archives of about
+ARCHIVE_BYTES (a longer record makes one alone). Rows are sorted by URL key, time and page within their partition, so
+each archive is a locally sorted capture run. An archive is one value for Spark's text writer, which commits it like
+any table: the writer ends a value with a line separator, which is set to the byte 0, and that is the last byte of a gzip member
+(the highest of its length, if under 16 MB; behind a longer one an empty member follows). `read` inflates one member at a time
+and checks lengths and payload digests; the index gives a member's offset and length in its archive, so that it can be read
+alone. `merged` orders the captures of all runs: key ranges are dealt to tasks, each task gets its slice of every run, still
 sorted, and merges the slices with a loser tree by (URL key, time, page).
 
 Of records with equal payloads (SHA-1, SHA-256 and length) of at least `min_bytes`, that with the largest page_id is the
 response; the others are revisits that refer to it and carry no payload. Pages have no capture time: it is EPOCH plus
 page_id seconds, modulo ten years. Record ids are UUIDs whose lower 64 bits are the page_id.
 
-Defined results: a null html is an empty payload; a null url has an empty key; a null page_id is written without an id
-and can't be referred to (in a group without any page_id all are responses); rows that repeat the largest page_id are
-responses all; an empty table gives no rows.
+Defined results: a null html is an empty payload; a null url has an empty key; a null page_id is written under an id made of url
+and payload and can't be referred to (in a group without any page_id all are responses); rows that repeat the largest
+page_id are responses all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote, urlsplit
@@ -35,14 +38,16 @@ from quirework.llm.shared import cut
 
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 CYCLE_SECONDS = 315_360_000
-RECORDS_PER_FILE = 4000
+ARCHIVE_BYTES = 8 << 20
+#: Bytes that are inflated at a time.
+_FEED = 1 << 14
 #: Index rows that a merging task holds, on average.
 RANGE_ROWS = 200_000
 _SPACE = 0x6F1D3C2A9B4E4D7F
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
-_INDEX = pa.schema([("run", pa.string()), ("place", pa.int64()), ("offset", pa.int64()), ("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64())])
-_INDEX_SQL = "run string, place long, offset long, url_key string, captured string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long"
+_INDEX = pa.schema([("run", pa.string()), ("place", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64())])
+_INDEX_SQL = "run string, place long, offset long, length long, url_key string, captured string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long"
 
 
 def url_key(url: str | None) -> str:
@@ -83,13 +88,13 @@ def captured_at(page_id: int | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, html: str | None, first: int | None) -> str:
-    """A WARC record without its trailing blank lines; `first`: the page whose payload this one repeats."""
+    """A WARC record; `first`: the page whose payload this one repeats."""
     payload = (html or "").encode()
     revisit = first is not None and first != page_id
     block = "" if revisit else _HTTP.format(len(payload)) + (html or "")
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"),
+        ("WARC-Record-ID", record_id(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {digest(payload)}')}>"),
         ("WARC-Date", captured_at(page_id)),
         ("WARC-Target-URI", target(url)),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
@@ -100,26 +105,38 @@ def record(page_id: int | None, url: str | None, html: str | None, first: int |
         ("Content-Type", "application/http;msgtype=response"),
         ("Content-Length", len(block.encode())),
     ]
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + "\r\n" + block
+    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + "\r\n" + block + "\r\n\r\n"
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values, size = [], 0
-        for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first"))):
-            values.append(record(*row))
-            size += len(values[-1])
-            if size > 1 << 23:
-                yield pa.RecordBatch.from_arrays([pa.array(values, type=pa.large_string())], names=["value"])
-                values, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(values, type=pa.large_string())], names=["value"])
+def _archiver(limit: int):
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Archives of gzip members, each without its last byte, which is 0 and comes from the writer."""
+        members, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            if members[-1][-1]:
+                members.append(gzip.compress(b"", mtime=0))
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], type=pa.large_binary())], names=["value"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = (batch.column(c)[i].as_py() for c in ("page_id", "url", "html", "first"))
+                members.append(gzip.compress(record(*row).encode(), compresslevel=6, mtime=0))
+                size += len(members[-1])
+                if size >= limit:
+                    yield flush()
+                    members, size = [], 0
+        if members:
+            yield flush()
+
+    return archives
 
 
 def _url_keys(column):
     return column.map(lambda url: url_key(target(url)))
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes the rows (page_id, url, html) as WARC archives into the folder `path`."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "sha256": F.sha2(F.col("html").cast("binary"), 256), "size": F.octet_length("html")})
@@ -128,15 +145,34 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     key = F.pandas_udf(_url_keys, "string")
     found = rows.join(repeated, same, "left").select("page_id", "url", "html", "first").withColumn("key", key("url"))
     ordered = found.sortWithinPartitions("key", F.pmod("page_id", F.lit(CYCLE_SECONDS)), "page_id")
-    ordered.mapInArrow(_records, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    archives = ordered.mapInArrow(_archiver(archive_bytes), "value binary").select(F.col("value").cast("string").alias("value"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
-def parse(run: str, data: bytes) -> Iterator[dict]:
-    """Index rows of an archive's records, in order."""
-    at = place = 0
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, inflated bytes) of an archive's gzip members."""
+    at = 0
     while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode().split("\r\n")
+        inflate, end, out = zlib.decompressobj(31), at, []
+        while not inflate.eof:
+            piece = data[end : end + _FEED]
+            if not piece:
+                raise ValueError(f"the member at {at} has no end")
+            out.append(inflate.decompress(piece))
+            end += len(piece)
+        end -= len(inflate.unused_data)
+        yield at, end - at, b"".join(out)
+        at = end
+
+
+def parse(run: str, archive: bytes) -> Iterator[dict]:
+    """Index rows of an archive's records, in order."""
+    place = 0
+    for at, length, data in members(archive):
+        if not data:
+            continue
+        head = data.index(b"\r\n\r\n")
+        lines = data[:head].decode().split("\r\n")
         if lines[0] != "WARC/1.1":
             raise ValueError(f"no record at {at} of {run}")
         fields = dict(line.split(": ", 1) for line in lines[1:])
@@ -146,20 +182,20 @@ def parse(run: str, data: bytes) -> Iterator[dict]:
             payload = data[data.index(b"\r\n\r\n", head + 4) + 4 : end]
             if digest(payload) != hashed or len(payload) != int(fields["X-Payload-Length"]):
                 raise ValueError(f"the payload at {at} of {run} is damaged")
-        if data[end : end + 4] != b"\r\n\r\n":
+        if data[end:] != b"\r\n\r\n":
             raise ValueError(f"the record at {at} of {run} has a wrong length")
         page, refers = fields.get("X-Page-ID"), fields.get("WARC-Refers-To")
         yield {
-            "run": run, "place": place, "offset": at, "url_key": url_key(fields.get("WARC-Target-URI")), "captured": fields["WARC-Date"], "page_id": int(page) if page else None, "record_type": fields["WARC-Type"],
-            "payload_digest": hashed, "payload_bytes": int(fields["X-Payload-Length"]), "refers_to": page_of(refers) if refers else None,
+            "run": run, "place": place, "offset": at, "length": length, "url_key": url_key(fields.get("WARC-Target-URI")), "captured": fields["WARC-Date"], "page_id": int(page) if page else None,
+            "record_type": fields["WARC-Type"], "payload_digest": hashed, "payload_bytes": int(fields["X-Payload-Length"]), "refers_to": page_of(refers) if refers else None,
         }
-        at, place = end + 4, place + 1
+        place += 1
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch.column("path"), batch.column("content")):
-            yield pa.RecordBatch.from_pylist(list(parse(path.as_py(), gzip.decompress(content.as_py()))), schema=_INDEX)
+        for i in range(batch.num_rows):
+            yield pa.RecordBatch.from_pylist(list(parse(batch.column("path")[i].as_py(), batch.column("content")[i].as_py())), schema=_INDEX)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Top-k, archives, language model and token ids against brute force."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -79,6 +80,32 @@ def test_archives(spark, tmp_path):
     assert warc.merged(warc.read(spark, str(tmp_path / "none"))).collect() == []
 
 
+def test_archives_are_bounded_and_seekable(spark, tmp_path):
+    rng = random.Random(4)
+    # a hot url, and payloads beyond the size at which a member's last byte is no longer 0
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i}.org/", "".join(chr(97 + rng.randrange(26)) for _ in range(3000))) for i in range(300)]
+    rows += [(1000, "http://big.org/", "ab" * 9_000_000), (1001, None, "é" * 9_000_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    pages = spark.read.parquet(str(tmp_path / "pages.parquet"))
+    path = str(tmp_path / "archives")
+    warc.write(pages, path, archive_bytes=40_000)
+    index = warc.read(spark, path).collect()
+    assert sorted(r["page_id"] for r in index) == sorted(r[0] for r in rows)
+    html = {r[0]: r[2] for r in rows}
+    files = {r["run"] for r in index}
+    assert len(files) > 10
+    for r in rng.sample(index, 40) + [r for r in index if r["page_id"] >= 1000]:
+        with open(r["run"].removeprefix("file:"), "rb") as f:
+            f.seek(r["offset"])
+            text = gzip.decompress(f.read(r["length"]))
+        assert text.startswith(b"WARC/1.1") and text.endswith(html[r["page_id"]].encode() + b"\r\n\r\n")
+    for run in rng.sample(sorted(files), 5):
+        with open(run.removeprefix("file:"), "rb") as f:
+            whole = f.read()
+        assert gzip.decompress(whole).count(b"WARC/1.1\r\n") == sum(r["run"] == run for r in index)
+        assert len(whole) < 60_000 or any(r["page_id"] >= 1000 for r in index if r["run"] == run)
+
+
 def test_url_keys():
     assert warc.url_key("HTTPS://www.Example.org:443/a?b=1#c") == "org,example)/a?b=1" and warc.url_key(None) == ""
     assert warc.page_of(warc.record_id(-7)) == -7
