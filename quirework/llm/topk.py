@@ -1,11 +1,16 @@
 """Exact top-k search by integer inner product with block-at-a-time pruning.
 
-Rows lie in blocks of neighbouring ids; a block is a forward index (ids and a matrix of components) from which the
-largest and smallest value of each component ("term") follow. A query's bound for a block is the sum over its terms of
-the better product with one of the two. Blocks and chunks of queries meet in groups of bounded size: every group of
-blocks gets each chunk once. In a group a query visits its blocks by falling bound and stops when the bound falls below
-its k-th score; equal bounds are still scored, because ties go to the smaller id. The group's best k of each query are
-merged by a window over at most k rows for each query and group.
+Rows are ordered so that neighbours are alike: a tree of median splits, each along the component that varies most,
+is fitted on a sample of at most SAMPLE_ROWS rows and sends every row to a leaf; document ranges of (leaf, id) make the blocks.
+A block is a forward index (ids and a matrix of components) with the largest and smallest value of each component ("term").
+A query's bound for a block is the sum over its terms of the better product with one of the two. In a group of blocks a query
+visits them by falling bound and stops when the bound falls below its k-th score. A block is scored through its forward
+index in two parts: after the components that vary most, a row's bound is its score so far plus the product of the norms of
+what is left, and only rows whose bound reaches the k-th score are scored to the end. Equal bounds are still scored, because ties go
+to the smaller id. The sample moves rows between blocks, never a result.
+
+Blocks and chunks of queries meet in groups of bounded size: every group of blocks gets each chunk once, and the group's best k of
+each query are merged by a window over at most k rows for each query and group.
 
 Products are exact: float64 matrix products where all sums stay below 2 ** 53, else Python integers, which saturate as
 64-bit scores.
@@ -25,10 +30,14 @@ from pyspark.sql import functions as F
 
 from quirework.llm.shared import cut
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 256
 CHUNK_QUERIES = 512
 #: Blocks that meet a chunk in one group, on average.
-GROUP_BLOCKS = 16
+GROUP_BLOCKS = 128
+#: Rows that the tree is fitted on, and its leaves, at most.
+SAMPLE_ROWS, LEAVES = 20_000, 1024
+#: Share of the components in the first part of a score.
+HEAD = 0.75
 _EXACT = 2.0**53
 _NONE = np.iinfo(np.int64).min
 
@@ -85,39 +94,95 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(whole, _NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
-def best_of(queries: tuple, blocks: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(scores, ids, marks) of each query's best k, and how many (query, block) pairs were scored."""
+class Tree:
+    """Median splits of a sample; nodes are numbered as in a heap, leaves by their place."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.depth = max(leaves - 1, 0).bit_length() if len(sample) else 0
+        self.axis, self.at = np.zeros(2**self.depth, dtype=np.int64), np.full(2**self.depth, np.inf)
+        parts = {1: np.arange(len(sample))}
+        for node in range(1, 2**self.depth):
+            own = parts.pop(node)
+            if len(own) > 1:
+                axis = int(sample[own].var(axis=0).argmax())
+                self.axis[node], self.at[node] = axis, np.median(sample[own, axis])
+            low = sample[own, self.axis[node]] <= self.at[node]
+            parts[2 * node], parts[2 * node + 1] = own[low], own[~low]
+        self.order = np.argsort(-sample.var(axis=0), kind="stable") if len(sample) else np.arange(sample.shape[1])
+
+    def leaf(self, matrix: np.ndarray) -> np.ndarray:
+        node, lines = np.ones(len(matrix), dtype=np.int64), np.arange(len(matrix))
+        for _ in range(self.depth):
+            node = 2 * node + (matrix[lines, self.axis[node]] > self.at[node])
+        return node - 2**self.depth
+
+
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    flat, offsets = vectors.flatten().to_numpy(zero_copy_only=False), np.asarray(vectors.offsets)
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), width), dtype=np.int64)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = flat
+    return out
+
+
+def _placer(tree: Tree, width: int):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("leaf", pa.array(tree.leaf(_matrix(batch.column("vector"), width))))
+
+    return place
+
+
+def best_of(queries: tuple, blocks: list[tuple], k: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(scores, ids, marks) of each query's best k, and how many (query, row) pairs were scored to the end.
+
+    order: components by falling variance.
+    """
     _, marks, matrix = queries
-    n = len(matrix)
+    n, width = matrix.shape
+    order = np.arange(width) if order is None else order
+    cut = -(-int(width * HEAD * 8) // 8) if width > 3 else width
+    head, tail = order[:cut], order[cut:]
     scores, ids, own = np.full((n, k), _NONE), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
     high, low = (np.stack([f(m, axis=0) for _, _, m in blocks], axis=1) for f in (np.max, np.min))
-    bounds = np.zeros((n, len(blocks)), dtype=np.int64)
     plus, minus = np.maximum(matrix, 0), np.minimum(matrix, 0)
     first, second = _product(plus, high), _product(minus, low)
     with np.errstate(over="ignore"):
         bounds = first + second
     bounds[((first > 0) & (second > 0) & (bounds < 0))] = np.iinfo(np.int64).max
-    order = np.argsort(-bounds.astype(np.float64), axis=1, kind="stable")
-    scored = 0
+    largest = lambda m: float(np.abs(m, dtype=np.float64).max()) if m.size else 0.0
+    exact = largest(matrix) * max(largest(m) for _, _, m in blocks) * width < _EXACT
+    norm = lambda m: np.sqrt((m[:, tail].astype(np.float64) ** 2).sum(axis=1))
+    left, kept = norm(matrix), [norm(m) for _, _, m in blocks]
+    visits = np.argsort(-bounds.astype(np.float64), axis=1, kind="stable")
+    ended = 0
     for step in range(len(blocks)):
-        at = order[:, step]
+        at = visits[:, step]
         alive = bounds[np.arange(n), at] >= scores[:, k - 1]
         for b in np.unique(at[alive]):
             who = np.flatnonzero(alive & (at == b))
-            scored += len(who)
             block_ids, block_marks, block = blocks[b]
-            found = _product(matrix[who], block.T)
-            found[block_marks[None, :] == marks[who, None]] = _NONE
-            take = min(k, found.shape[1])
-            if found.shape[1] > take:  # keep all that reach the k-th score, then let ids decide
-                kth = np.partition(found, found.shape[1] - take, axis=1)[:, found.shape[1] - take]
-            for row, q in enumerate(who):
-                good = np.flatnonzero(found[row] >= kth[row]) if found.shape[1] > take else np.arange(found.shape[1])
-                s = np.concatenate([scores[q], found[row, good]])
-                i, m = np.concatenate([ids[q], block_ids[good]]), np.concatenate([own[q], block_marks[good]])
-                pick = np.lexsort((m, i, np.where(s == _NONE, np.iinfo(np.int64).max, -s)))[:k]
-                scores[q], ids[q], own[q] = s[pick], i[pick], m[pick]
-    return scores, ids, own, scored
+            kth = scores[who, k - 1][:, None]
+            if exact and len(tail):
+                found = _product(matrix[np.ix_(who, head)], block[:, head].T)
+                q, r = np.nonzero(found + left[who][:, None] * kept[b][None, :] * (1 + 1e-9) + 1 >= kth)
+                value = found[q, r] + np.einsum("ij,ij->i", matrix[np.ix_(who, tail)][q], block[:, tail][r])
+            else:
+                found = _product(matrix[who], block.T)
+                q, r = (x.ravel() for x in np.indices(found.shape))
+                value = found.ravel()
+            ended += len(q)
+            good = (value >= kth[q, 0]) & (block_marks[r] != marks[who][q])
+            q, r, value = q[good], r[good], value[good]
+            begins = np.searchsorted(q, np.arange(len(who) + 1))
+            for j in np.unique(q):
+                part = slice(begins[j], begins[j + 1])
+                i = who[j]
+                s = np.concatenate([scores[i], value[part]])
+                names, m = np.concatenate([ids[i], block_ids[r[part]]]), np.concatenate([own[i], block_marks[r[part]]])
+                pick = np.lexsort((m, names, np.where(s == _NONE, np.iinfo(np.int64).max, -s)))[:k]
+                scores[i], ids[i], own[i] = s[pick], names[pick], m[pick]
+    return scores, ids, own, ended
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
@@ -126,8 +191,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     rows = cut(rows.withColumn("mark", F.monotonically_increasing_id()))
     n, width = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
     width = width or 0
+    some = rows.filter(F.pmod(F.xxhash64("vec_id", "mark"), F.lit(-(-n // SAMPLE_ROWS) or 1)) == 0).select("vector").limit(SAMPLE_ROWS).toArrow()
+    sample = np.concatenate([np.zeros((0, width), np.int64), *(_matrix(c, width) for c in some.column("vector").chunks)])
+    tree = Tree(sample.astype(np.float64), min(LEAVES, -(-n // BLOCK_ROWS)))
+    placed = rows.mapInArrow(_placer(tree, width), "vec_id long, vector array<long>, asks boolean, mark long, leaf long")
     ranges = max(1, -(-n // (GROUP_BLOCKS * BLOCK_ROWS)))
-    ranged = rows.repartitionByRange(ranges, "vec_id", "mark").sortWithinPartitions("vec_id", "mark")
+    ranged = placed.repartitionByRange(ranges, "leaf", "vec_id", "mark").sortWithinPartitions("leaf", "vec_id", "mark")
     blocks = cut(ranged.select("vec_id", "mark", "vector").mapInArrow(_packer(BLOCK_ROWS, width), _PACKED))
     chunks = cut(rows.filter("asks").select("vec_id", "mark", "vector").mapInArrow(_packer(CHUNK_QUERIES, width), _PACKED))
     groups, n_chunks = max(1, -(-blocks.count() // GROUP_BLOCKS)), max(1, chunks.count())
@@ -140,7 +209,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         parts = [[], [], [], [], []]
         index = _unpack(held, width)
         for queries in _unpack(asked, width) if index else []:
-            scores, ids, own, _ = best_of(queries, index, k)
+            scores, ids, own, _ = best_of(queries, index, k, tree.order)
             real = scores != _NONE
             for part, values in zip(parts, (np.broadcast_to(queries[1][:, None], real.shape), np.broadcast_to(queries[0][:, None], real.shape), ids, own, scores)):
                 part.append(values[real])
