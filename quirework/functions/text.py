@@ -19,10 +19,10 @@ REJOIN = [
     (r" (['’](s|t|re|ve|ll|d|m|S|T|RE|VE|LL|D|M))\b", "$1"),
     (r'" (.*?) "', '"$1"'),
 ]
-#: Word numbers are encoded as code points from here on, all below the surrogates.
-_FIRST_CODE, _MAX_WORDS = 0x4E00, 35_327
-#: Half-widths that are tried before the full table of a distance.
-_BANDS = (12, 36, 108, 324, 972)
+#: Word numbers are encoded as code points: all but 0 and the surrogates.
+_BELOW, _SURROGATES, _MAX_WORDS = 0xD7FF, 0x800, 0x10FFFF - 0x800
+#: Half-widths that are tried before the full table of a distance: each twice the one before.
+_BANDS = tuple(8 << k for k in range(13))
 
 
 def let(value: Column, body) -> Column:
@@ -98,7 +98,7 @@ def deletes(word: Column, depth: int) -> Column:
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of any two texts: in bands that widen until one holds it, so similar texts cost a multiple of their distance."""
+    """Levenshtein distance of any two texts: the band doubles until it holds, so the cost is at most four times that of the distance's own band."""
     out = F.levenshtein(a, b)
     for band in reversed(_BANDS):
         out = _within(F.levenshtein(a, b, band), out)
@@ -110,9 +110,10 @@ def _within(banded: Column, wider: Column) -> Column:
 
 
 def as_codes(sequence: Column, kinds: Column) -> Column:
-    """A word sequence as a string with one code point for each word, its number in `kinds`."""
-    number = lambda w: F.lpad(F.hex(F.array_position(kinds, w) + (_FIRST_CODE - 1)), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(sequence, number), "")), "UTF-16BE")
+    """A word sequence as a string with one code point for each word, by its number in `kinds`."""
+    code = lambda n: F.when(n <= _BELOW, n).otherwise(n + _SURROGATES)
+    number = lambda w: F.lpad(F.hex(code(F.array_position(kinds, w))), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(sequence, number), "")), "UTF-32")
 
 
 def word_distance(a: Column, b: Column) -> Column:
@@ -124,6 +125,21 @@ def word_distance(a: Column, b: Column) -> Column:
     return let(F.array_union(a, b), coded)
 
 
+def shared_words(a: Column, b: Column) -> Column:
+    """How many words two arrays have in common as multisets: each word is told apart by how many of its kind come before it."""
+    counted = lambda ws: let(F.array_sort(ws), lambda x: F.transform(x, lambda w, i: F.concat_ws(" ", w, i - F.array_position(x, w))))
+    return F.size(F.array_intersect(counted(a), counted(b)))
+
+
+def bow_f1(reference: Column, reading: Column) -> Column:
+    """F1 of the word multisets; without words in the reference 1 if the reading has none either, else 0."""
+    def rate(p: Column) -> Column:
+        r, h = F.size(p["r"]), F.size(p["h"])
+        return F.when(r == 0, F.when(h == 0, 1.0).otherwise(0.0)).otherwise(2 * shared_words(p["r"], p["h"]) / (r + h))
+
+    return let(F.struct(words(reference).alias("r"), words(reading).alias("h")), rate)
+
+
 def _rate(edits: Column, size: Column, other: Column) -> Column:
     return F.when(size == 0, F.when(other == 0, 0.0).otherwise(1.0)).otherwise(edits / size)
 

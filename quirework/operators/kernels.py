@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -52,44 +51,54 @@ def folded_gap(a: str, b: str) -> float:
 def align(ref: Sequence[str], hyp: Sequence[str]) -> list[tuple[int | None, int | None]]:
     """The cheapest word alignment; among equals substitution goes before deletion and deletion before insertion.
 
-    Only a band of the table is filled. A path that leaves a band of half-width k misses and inserts more than k words, so
-    costs more than k: the band doubles until the cost found inside is at most k, and then holds every cheapest path.
+    Only costs are kept: a band of the table, one array a row, in which insertions are a running minimum. The path is read
+    off afterwards, from the end, by asking which neighbour explains a cost. A path that leaves a band of half-width k misses and
+    inserts more than k words, so costs more than k: the band doubles until the cost found inside is at most k.
     """
     a, b = [w.lower() for w in ref], [w.lower() for w in hyp]
-    n, m = len(a), len(b)
-    half = max(4, 2 * abs(n - m))
-    inf = float("inf")
+    half = max(4, 2 * abs(len(a) - len(b)))
     while True:
-        moves: list[tuple[int, bytearray]] = []
-        above: list[float] = []
-        low_above = high_above = -1
-        for i in range(n + 1):
-            low, high = max(0, i - half), min(m, i + half)
-            row, kinds = [], bytearray()
-            for j in range(low, high + 1):
-                best, kind = (0.0, 0) if i == j == 0 else (inf, 0)
-                if i and j and low_above <= j - 1 <= high_above:
-                    x, y = a[i - 1], b[j - 1]
-                    c = above[j - 1 - low_above] + (0.0 if x == y else folded_gap(x, y))
-                    if c < best:
-                        best, kind = c, 1
-                if i and low_above <= j <= high_above and above[j - low_above] + 1 < best:
-                    best, kind = above[j - low_above] + 1, 2
-                if j > low and row[-1] + 1 < best:
-                    best, kind = row[-1] + 1, 3
-                row.append(best)
-                kinds.append(kind)
-            moves.append((low, kinds))
-            above, low_above, high_above = row, low, high
-        if above[m - low_above] <= half or half >= max(n, m):
-            break
+        costs, changes = _band(a, b, half)
+        if costs[-1][len(b) - max(0, len(a) - half)] <= half or half >= max(len(a), len(b)):
+            return _path(costs, changes, len(b), half)
         half *= 2
-    i, j, back = n, m, []
+
+
+def _band(a: list[str], b: list[str], half: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Costs of the prefixes within the band, and the cost of changing a row's word into each word of its band."""
+    low, high = 0, min(len(b), half)
+    costs, changes = [np.arange(high + 1, dtype=np.float64)], [np.zeros(0)]
+    for i, word in enumerate(a, 1):
+        before = low
+        low, high = max(0, i - half), min(len(b), i + half)
+        change = np.array([0.0 if word == w else folded_gap(word, w) for w in b[max(low - 1, 0) : high]])
+        above = np.full(high - before + 2, np.inf)  # the last row from one place left of the band to its end
+        above[1 : len(costs[-1]) + 1] = costs[-1]
+        above = above[low - before :]
+        down = above[1:] + 1
+        slant = np.full(len(down), np.inf)
+        slant[len(slant) - len(change) :] = above[len(above) - 1 - len(change) : -1] + change
+        steps = np.arange(len(down))
+        best = np.minimum(down, slant)
+        costs.append(np.minimum.accumulate(best - steps) + steps)
+        changes.append(change)
+    return costs, changes
+
+
+def _path(costs: list[np.ndarray], changes: list[np.ndarray], end: int, half: int) -> list[tuple[int | None, int | None]]:
+    cost = lambda i, j: costs[i][j - max(0, i - half)] if 0 <= j - max(0, i - half) < len(costs[i]) else np.inf
+    i, j, back = len(costs) - 1, end, []
     while i or j:
-        low, kinds = moves[i]
-        kind = kinds[j - low]
-        i, j = i - (kind < 3), j - (kind != 2)
-        back.append((i if kind < 3 else None, j if kind != 2 else None))
+        now = cost(i, j) - 1e-9
+        if i and j and cost(i - 1, j - 1) + changes[i][j - 1 - max(0, max(0, i - half) - 1)] >= now and cost(i - 1, j - 1) + changes[i][j - 1 - max(0, max(0, i - half) - 1)] <= now + 2e-9:
+            i, j = i - 1, j - 1
+            back.append((i, j))
+        elif i and cost(i - 1, j) + 1 <= now + 2e-9:
+            i -= 1
+            back.append((i, None))
+        else:
+            j -= 1
+            back.append((None, j))
     return back[::-1]
 
 
@@ -115,31 +124,17 @@ def edit_blocks(a: str, b: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def vote_by_chars(readings: list[tuple[str, float]]) -> str:
-    """Vote for each character of the first reading; the others are (reading, vote). Insertions need more than half."""
-    word, said = readings[0][0], readings[1:]
-    keep = [defaultdict(float) for _ in word]
-    extra = [defaultdict(float) for _ in range(len(word) + 1)]
-    for reading, vote in said:
-        changed = [False] * len(word)
-        for a0, a1, b0, b1 in edit_blocks(word, reading):
-            for k in range(a0, a1):
-                changed[k] = True
-                keep[k][reading[b0 + k - a0] if a1 - a0 == b1 - b0 else ""] += vote
-            if b1 > b0 and a1 - a0 != b1 - b0:
-                extra[a0][reading[b0:b1]] += vote
-        for k, c in enumerate(word):
-            if not changed[k]:
-                keep[k][c] += vote
-    half = sum(v for _, v in said) / 2
-    out = []
-    for k in range(len(word) + 1):
-        if extra[k]:
-            piece = max(extra[k], key=extra[k].get)
-            out.append(piece if extra[k][piece] > half else "")
-        if k < len(word):
-            out.append(max(keep[k], key=keep[k].get))
-    return "".join(out)
+def ballots(word: str, reading: str) -> list[tuple[int, int, str]]:
+    """What a reading says of a word, as (place, kind, text): kind 1 is the character at the place, kind 0 what stands before it."""
+    at, out = 0, []
+    for a0, a1, b0, b1 in [*edit_blocks(word, reading), (len(word), len(word), 0, 0)]:
+        out += [(k, 1, word[k]) for k in range(at, a0)]
+        even = a1 - a0 == b1 - b0
+        out += [(k, 1, reading[b0 + k - a0] if even else "") for k in range(a0, a1)]
+        if b1 > b0 and not even:
+            out.append((a0, 0, reading[b0:b1]))
+        at = a1
+    return out
 
 
 def confusion_cost(seen: str, truth: str) -> float:

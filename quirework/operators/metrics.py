@@ -11,23 +11,11 @@ from quirework.functions import text as T
 LEVELS = ["clean", "medium", "hard", "real", "all"]
 
 
-def bow_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, bow: word multiset F1 of each row (keys, text, reading); keys identify a row.
-
-    Words are counted for each row and side with map-side combining, so nothing grows with a row's length squared.
-    """
-    side = lambda c, s: pairs.select(*keys, F.explode(T.words(F.col(c))).alias("word"), F.lit(1 - s).alias("r"), F.lit(s).alias("h"))
-    counted = side("text", 0).unionByName(side("reading", 1)).groupBy(*keys, "word").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    summed = counted.groupBy(*keys).agg(F.sum(F.least("r", "h")).alias("tp"), F.sum("r").alias("nr"), F.sum("h").alias("nh"))
-    f1 = F.when(F.col("nr").isNull(), 1.0).when(F.col("nr") == 0, 0.0).when(F.col("tp") == 0, 0.0).otherwise(2 * F.col("tp") / (F.col("nr") + F.col("nh")))
-    return pairs.select(*keys).join(summed, keys, "left").select(*keys, f1.alias("bow"))
-
-
 def score(pairs: DataFrame) -> DataFrame:
-    """`pairs` (text, reading and optionally case_insensitive) with cer and wer."""
+    """`pairs` (text, reading and optionally case_insensitive) with cer, wer and bow: projections of one row."""
     folded = F.col("case_insensitive") if "case_insensitive" in pairs.columns else F.lit(False)
     fold = lambda c: F.when(folded, F.upper(c)).otherwise(F.col(c))
-    return pairs.withColumn("cer", T.cer(fold("text"), fold("reading"))).withColumn("wer", T.wer(fold("text"), fold("reading")))
+    return pairs.withColumn("cer", T.cer(fold("text"), fold("reading"))).withColumn("wer", T.wer(fold("text"), fold("reading"))).withColumn("bow", T.bow_f1(fold("text"), fold("reading")))
 
 
 def report(scored: DataFrame, metrics: list[str], group: str = "system", level: str = "level") -> DataFrame:

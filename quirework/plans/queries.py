@@ -60,9 +60,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BOW + "SELECT system, coalesce(level, 'all') AS level, round(avg(bow), 6) AS bow, count(*) AS n FROM scored GROUP BY GROUPING SETS ((system, level), (system))")
 def bow_f1_by_level(spark, sf_dir):
-    pairs = S.pairs(spark, sf_dir)
-    bow = metrics.bow_scores(pairs, ["image", "system"])
-    return _rounded(metrics.report(pairs.select("image", "system", "level").join(bow, ["image", "system"]), ["bow"]), "bow")
+    pairs = S.pairs(spark, sf_dir).withColumn("bow", T.bow_f1(F.col("text"), F.col("reading")))
+    return _rounded(metrics.report(pairs, ["bow"]), "bow")
 
 
 @query(_CER + "SELECT system, coalesce(level, 'all') AS level, round(avg(cer), 6) AS cer, count(*) AS n FROM scored GROUP BY GROUPING SETS ((system, level), (system))")
@@ -112,7 +111,7 @@ rows AS (
 
 
 def _routed(spark, sf_dir):
-    rows = _scored(spark, sf_dir).groupBy("image").agg(F.max(F.when(F.col("system") == "north/raw", F.col("cer"))).alias("fast_cer"), F.max(F.when(F.col("system") == "south/raw", F.col("cer"))).alias("robust_cer"))
+    rows = _scored(spark, sf_dir).filter("system <> 'west/soft'").groupBy("image").agg(F.max(F.when(F.col("system") == "north/raw", F.col("cer"))).alias("fast_cer"), F.max(F.when(F.col("system") == "south/raw", F.col("cer"))).alias("robust_cer"))
     said = S.read_words(spark, sf_dir).filter("source = 'north/raw'")
     conf = F.coalesce(F.aggregate("said", F.lit(0.0), lambda s, w: s + w["conf"]) / F.nullif(F.size("said"), F.lit(0)), F.lit(0.0))
     rows = rows.join(said.select("image", F.round(conf, 9).alias("conf")), "image")
@@ -157,7 +156,7 @@ per_set AS (
 SELECT CAST(t AS DOUBLE) AS tau, round(avg(cer), 6) AS cer, round(avg(cost), 6) AS cost FROM per_set GROUP BY t
 """)
 def cascade_sweep(spark, sf_dir):
-    scored = _scored(spark, sf_dir).groupBy("image", "dataset").agg(F.max(F.when(F.col("system") == "north/raw", F.col("cer"))).alias("cheap_cer"), F.max(F.when(F.col("system") == "west/soft", F.col("cer"))).alias("full_cer"))
+    scored = _scored(spark, sf_dir).filter("system <> 'south/raw'").groupBy("image", "dataset").agg(F.max(F.when(F.col("system") == "north/raw", F.col("cer"))).alias("cheap_cer"), F.max(F.when(F.col("system") == "west/soft", F.col("cer"))).alias("full_cer"))
     rows = scored.join(_rounded9(_agreement(spark, sf_dir)), "image")
     return _rounded(sweeps.cascade(rows, [0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98, 1.0], 2.5, 9.5), "cer", "cost")
 

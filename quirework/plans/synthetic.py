@@ -20,19 +20,20 @@ WEIGHTS = [(s[0], s[7], i) for i, s in enumerate(SOURCES)]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, dealt anew only where the input has fewer splits than there are cores."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, "doc_id")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, dataset, level, doc_id, line_no, words) of all lines with words."""
+    """(image, dataset, level, doc_id, line_no, words) of all lines with words.
+
+    Lines are dealt by image, because the kernels over them outweigh a shuffle of the text and later steps group by
+    image: neither the layout of files nor one long document decides how many tasks work.
+    """
     level = F.lit("real")
     for lang, name in LEVEL_OF.items():
         level = F.when(F.col("lang") == lang, name).otherwise(level)
     lines = documents(spark, sf_dir).select("doc_id", F.col("source").alias("dataset"), level.alias("level"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.select(F.concat_ws(":", "doc_id", "line_no").alias("image"), "dataset", "level", "doc_id", "line_no", T.words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    return lines.select(F.concat_ws(":", "doc_id", "line_no").alias("image"), "dataset", "level", "doc_id", "line_no", T.words(F.col("line")).alias("words")).filter(F.size("words") > 0).repartition("image")
 
 
 def _read(words: Column, k: int) -> Column:

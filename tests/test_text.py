@@ -36,6 +36,19 @@ def test_distances_equal_a_naive_table(spark):
     assert got == [lev(a.split(), b.split()) for a, b in rows]
 
 
+def test_many_distinct_words(spark):
+    rows = [(" ".join(f"w{i}" for i in range(60_000)), " ".join(f"w{i}" for i in range(60_000) if i % 20_000))]
+    assert values(spark, rows, "a string, b string", T.word_distance(F.slice(T.words(F.col("a")), 54_000, 3000), F.slice(T.words(F.col("a")), 54_001, 3000))) == [2]
+    codes = F.transform(F.array(*(F.lit(x) for x in (1, 0xD7FF, 0xD800, 60_000))), lambda n: n)
+    assert values(spark, [(1,)], "x int", F.length(T.as_codes(F.transform(codes, lambda n: n.cast("string")), F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda n: n.cast("string"))))) == [4]
+
+
+def test_word_multisets(spark):
+    rows = [("a b c", "c b a"), ("a b c d", "a b"), ("", ""), ("", "x"), ("a a b", "a b b"), ("a", "b")]
+    got = values(spark, rows, "a string, b string", T.bow_f1(F.col("a"), F.col("b")))
+    assert [round(x, 6) for x in got] == [1.0, round(2 / 3, 6), 1.0, 0.0, round(2 / 3, 6), 0.0]
+
+
 def test_words_split_at_every_blank_of_python(spark):
     blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
     rows = [(f"a{b}b",) for b in blanks] + [("a​b",), (" x  y ",), ("",)]
