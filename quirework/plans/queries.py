@@ -236,13 +236,29 @@ def unigram_floor(spark, sf_dir):
 
 
 @query(_CORPUS + """
-, rows AS (SELECT b.prev, b.word, b.n, u.logp AS lw, l.n AS lp FROM bigram b LEFT JOIN unigram u ON u.word = b.word JOIN lefts l ON l.prev = b.prev)
-SELECT prev, word, round(ln((n + 50 * exp(coalesce(lw, (SELECT floor FROM lowest)))) / (lp + 50)), 6) AS logp FROM rows
-""", base=False)
+, triples AS (
+  SELECT DISTINCT coalesce(lag(word) OVER w, '') AS prev, word, coalesce(lead(word) OVER w, '') AS next FROM cores WINDOW w AS (PARTITION BY book ORDER BY pos)
+), looked AS (
+  SELECT t.*, (SELECT floor FROM lowest) AS floor, CASE WHEN k.word IS NULL AND e.word IS NULL THEN NULL ELSE coalesce(k.logp, (SELECT floor + 1 FROM lowest)) END AS lw,
+    CASE WHEN kn.word IS NULL AND en.word IS NULL THEN NULL ELSE coalesce(kn.logp, (SELECT floor + 1 FROM lowest)) END AS ln, l.n AS lp, lc.n AS lword, b.n AS n_before, a.n AS n_after
+  FROM triples t LEFT JOIN unigram k ON k.word = t.word LEFT JOIN unigram kn ON kn.word = t.next LEFT JOIN lefts l ON l.prev = t.prev AND t.prev <> '' LEFT JOIN lefts lc ON lc.prev = t.word
+    LEFT JOIN bigram b ON b.prev = t.prev AND b.word = t.word AND t.prev <> '' LEFT JOIN bigram a ON a.prev = t.word AND a.word = t.next AND t.next <> ''
+    LEFT JOIN extra e ON e.word = t.word LEFT JOIN extra en ON en.word = t.next
+  WHERE t.word <> ''
+)
+SELECT prev, word, next, round(
+  CASE WHEN prev = '' THEN coalesce(lw, floor) ELSE ln((coalesce(n_before, 0) + 50 * exp(coalesce(lw, floor))) / (coalesce(lp, 0) + 50)) END
+  + CASE WHEN next = '' THEN 0 ELSE ln((coalesce(n_after, 0) + 50 * exp(coalesce(ln, floor))) / (coalesce(lword, 0) + 50) / exp(coalesce(ln, floor))) END, 6) AS logp FROM looked
+""".replace(", triples AS", """, extra AS (
+  SELECT word FROM (SELECT prev AS word FROM bigram UNION SELECT word FROM bigram) WHERE regexp_matches(word, '^[A-Za-z]+(?:''[A-Za-z]+)?$') AND word NOT IN (SELECT word FROM unigram)
+), triples AS"""), base=False)
 def logp_pairs(spark, sf_dir):
-    lex = lexicon.build(_corpus(spark, sf_dir))
-    rows = lex.bigram.select("prev", "word", F.lit("").alias("next"))
-    return _rounded(lexicon.log_probability(rows, lex).select("prev", "word", "logp"), "logp")
+    """Every word between its neighbours, either of which can be absent."""
+    corpus = _corpus(spark, sf_dir)
+    lex = lexicon.build(corpus)
+    near = Window.partitionBy("book").orderBy("pos")
+    around = lexicon.cores(corpus).select(F.coalesce(F.lag("word").over(near), F.lit("")).alias("prev"), "word", F.coalesce(F.lead("word").over(near), F.lit("")).alias("next"))
+    return _rounded(lexicon.log_probability(around.filter("word <> ''").distinct(), lex), "logp")
 
 
 @query(_CORPUS + """
@@ -258,11 +274,10 @@ def delete_index_size(spark, sf_dir):
 
 @query()
 def neighbors(spark, sf_dir):
-    """Lexicon words near the misread words of the first source: the delete index against all distinct queries."""
+    """(query, word): the lexicon words near each unknown word that any source has read."""
     lex = lexicon.build(_corpus(spark, sf_dir))
-    asked = S.words_flat(spark, sf_dir).filter("source = 'north/raw'").select(F.lower(T.core(F.col("word"))).alias("query")).distinct().join(lex.unigram.select(F.col("word").alias("query")), "query", "left_anti")
-    found = lexicon.neighbors(asked, lex.deletes())
-    return found.groupBy("query").agg(F.count("*").alias("n"), F.min("word").alias("first"))
+    asked = S.words_flat(spark, sf_dir).select(F.lower(T.core(F.col("word"))).alias("query")).distinct().join(lex.unigram.select(F.col("word").alias("query")), "query", "left_anti")
+    return lexicon.neighbors(asked, lex.deletes())
 
 
 _SAID_CORE = r"regexp_extract(word, '^([^A-Za-z0-9]*)(.*?)([^A-Za-z0-9]*)$', {})"
@@ -271,11 +286,11 @@ _KNOWN = r"""
 , tokens AS (
   SELECT unnest(regexp_extract_all(regexp_replace(text, '[^\x20-\x7e\s]', '', 'g'), '[^\s]+')) AS word FROM documents WHERE lang = 'en'
 ), known AS (SELECT DISTINCT lower(""" + _SAID_CORE.format(2) + ") AS k FROM tokens WHERE regexp_matches(lower(" + _SAID_CORE.format(2) + "), " + _LETTERS + "))\n"
-_SHARE = "WITH judged AS (SELECT image, " + _SAID_CORE.format(2) + """ AS core, conf FROM said WHERE source = 'north/raw'
+_SHARE = "WITH judged AS (SELECT image || chr(10) || source AS image, " + _SAID_CORE.format(2) + """ AS core, conf, source FROM said
 )""" + _KNOWN + """, shares AS (
   SELECT image, avg(CASE WHEN k IS NOT NULL THEN 1.0 ELSE 0.0 END) AS share FROM judged LEFT JOIN known ON k = lower(core)
   WHERE conf >= 0.8 AND length(core) >= 3 AND regexp_matches(core, """ + _LETTERS + """) GROUP BY image
-), english AS (SELECT image, coalesce(share, 1.0) AS share FROM (SELECT DISTINCT image FROM said WHERE source = 'north/raw') LEFT JOIN shares USING (image))
+), english AS (SELECT image, coalesce(share, 1.0) AS share FROM (SELECT DISTINCT image || chr(10) || source AS image FROM said) LEFT JOIN shares USING (image))
 """
 
 
@@ -285,7 +300,9 @@ def _english(spark, sf_dir):
 
 
 def _share(spark, sf_dir):
-    return lexicon.english_share(S.words_flat(spark, sf_dir).filter("source = 'north/raw'"), _english(spark, sf_dir))
+    """A reading is a page of its own here: image and source."""
+    words = S.words_flat(spark, sf_dir).withColumn("image", F.concat_ws("\n", "image", "source"))
+    return lexicon.english_share(words, _english(spark, sf_dir))
 
 
 @query(_SHARE + "SELECT image, round(share, 6) AS share FROM english")
@@ -293,9 +310,9 @@ def english_share(spark, sf_dir):
     return _rounded(_share(spark, sf_dir), "share")
 
 
-@query(_SHARE + "SELECT level, count(*) AS pages, count(*) FILTER (round(share, 9) < 0.7) AS gated FROM english JOIN samples USING (image) GROUP BY level")
+@query(_SHARE + "SELECT level, count(*) AS pages, count(*) FILTER (round(share, 9) < 0.7) AS gated FROM english JOIN samples ON samples.image = split_part(english.image, chr(10), 1) GROUP BY level")
 def english_gate(spark, sf_dir):
-    shares = _share(spark, sf_dir).join(S.samples(spark, sf_dir).select("image", "level"), "image")
+    shares = _share(spark, sf_dir).withColumn("image", F.split_part("image", F.lit("\n"), F.lit(1))).join(S.samples(spark, sf_dir).select("image", "level"), "image")
     return shares.groupBy("level").agg(F.count("*").alias("pages"), F.count_if(F.round("share", 9) < 0.7).alias("gated"))
 
 
@@ -328,13 +345,18 @@ def apply_case(spark, sf_dir):
     return _kinds(spark, sf_dir).select("word", T.apply_case(F.col("word"), F.lit("model")).alias("cased"))
 
 
-@query(_TRUTH_WORDS.replace("truth", "said WHERE source = 'north/raw'") + ", parts AS (SELECT image, i, word, conf, " + _SAID_CORE.format(2) + " AS core FROM said WHERE source = 'north/raw')" + _KNOWN + r"""
-SELECT image, i AS pos, core FROM parts LEFT JOIN known ON k = lower(core)
+@query("WITH alike AS (SELECT image, i, count(DISTINCT lower(" + _SAID_CORE.format(2) + ")) AS n FROM said WHERE regexp_matches(lower(" + _SAID_CORE.format(2) + "), " + _LETTERS + r""") GROUP BY image, i),
+parts AS (SELECT image, source, i, copy, conf, """ + _SAID_CORE.format(2) + " AS core FROM said)" + _KNOWN + r"""
+SELECT p.image, source, p.i AS place, CAST(copy AS BIGINT) AS copy, core FROM parts p LEFT JOIN alike USING (image, i) LEFT JOIN known ON k = lower(core)
 WHERE NOT (core = '' OR (regexp_matches(core, '\p{Nd}') AND length(regexp_replace(core, '[^\p{L}]', '', 'g')) < 2) OR regexp_matches(core, '[@/$%-]') OR (""" + _UPPER.format("core") + """ AND length(core) <= 5))
-  AND NOT (""" + _UPPER.format("core") + """ AND conf >= 0.5) AND conf < CASE WHEN k IS NOT NULL THEN 0.9 ELSE 0.8 END""")
+  AND NOT (""" + _UPPER.format("core") + """ AND conf >= 0.5) AND NOT (conf >= CASE WHEN k IS NOT NULL THEN 0.9 ELSE 0.8 END AND coalesce(n, 0) <= 1)""")
 def suspect_tokens(spark, sf_dir):
-    words = S.words_flat(spark, sf_dir).filter("source = 'north/raw'").select("image", "pos", "word", "conf", F.lit(1).alias("n_alternatives"))
-    return lexicon.suspects(words, _english(spark, sf_dir)).select("image", F.col("pos").cast("long").alias("pos"), "core")
+    """Words of all sources; the alternatives are what the sources read at the same place of the text."""
+    words = S.words_flat(spark, sf_dir)
+    plain = F.lower(T.core(F.col("word")))
+    alike = words.groupBy("image", "i").agg(F.count_distinct(F.when(T.is_letters(plain), plain)).alias("n_alternatives"))
+    found = lexicon.suspects(words.join(alike, ["image", "i"]), _english(spark, sf_dir))
+    return found.select("image", "source", F.col("i").cast("long").alias("place"), F.col("copy").cast("long").alias("copy"), "core")
 
 
 @query(r"""
@@ -513,11 +535,9 @@ def confusion_costs(spark, sf_dir):
 
 @query()
 def word_alignment(spark, sf_dir):
-    """Alignment of each reading with its text: matched, missed and inserted words."""
+    """(image, source, step, ri, hi): the alignment of each reading with its text; null for what one side lacks."""
     rows = S.read_words(spark, sf_dir).select("image", "source", F.col("words").alias("ref"), F.transform("said", lambda w: w["word"]).alias("hyp"))
-    found = voting.aligned(rows).select("image", "source", "pairs")
-    count = lambda test: F.size(F.filter("pairs", test))
-    return found.select("image", "source", count(lambda p: p["ri"].isNotNull() & p["hi"].isNotNull()).alias("matched"), count(lambda p: p["hi"].isNull()).alias("missed"), count(lambda p: p["ri"].isNull()).alias("inserted"))
+    return voting.aligned(rows).select("image", "source", F.posexplode("pairs").alias("step", "pair")).select("image", "source", "step", "pair.ri", "pair.hi")
 
 
 @query()
@@ -536,21 +556,125 @@ def repaired_text(spark, sf_dir):
     return system_text(spark, S.readings(spark, sf_dir), config, lexicon.build(io.corpus_words(english)))
 
 
-@query()
+_WIDTH = "30 + CAST(floor(CAST(CAST('0x' || substr(md5('wrap:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 * 56) AS INTEGER)"
+
+
+@query(f"""
+WITH split AS (SELECT doc_id, {_WIDTH} AS width, regexp_extract_all(text, '[^\\s]+') AS words FROM documents), filled AS (
+  SELECT doc_id, string_split(list_reduce(words, lambda t, w: t || CASE WHEN (CASE WHEN contains(t, chr(10)) THEN strpos(reverse(t), chr(10)) - 1 ELSE length(t) END) + 1 + length(w) > width THEN chr(10) ELSE ' ' END || w), chr(10)) AS lines
+  FROM split WHERE len(words) > 0
+) SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM filled
+""", base=False)
 def wrapped_lines(spark, sf_dir):
-    """Every document's words in lines of up to 60 characters."""
+    """Every document's words in lines of up to 30 to 85 characters, a width drawn for each document."""
+    from quirework.plans.generate import uniform
     from quirework.plans.tuning import wrapped
 
-    lines = S.documents(spark, sf_dir).select("doc_id", F.posexplode(wrapped(T.words(F.coalesce("text", F.lit(""))), 60)).alias("line_no", "line"))
-    return lines
+    width = (30 + F.floor(uniform("wrap", F.col("doc_id")) * 56)).cast("int")
+    lines = S.documents(spark, sf_dir).repartition("doc_id").select("doc_id", F.posexplode(wrapped(T.words(F.coalesce("text", F.lit(""))), width)).alias("line_no", "line"))
+    return lines.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def _drawn(seed: str, *keys: str) -> str:
+    """The SQL of generate.uniform."""
+    return f"(CAST(CAST('0x' || substr(md5('{seed}' || " + " || ".join(f"':' || {k}" for k in keys) + "), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0)"
 
 
-_PLACE = "(CAST(CAST('0x' || substr(md5('1234:' || image || ':' || i), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0)"
+_NUMBER = "CAST(CAST({0} + floor(v * ({1} - {0})) AS BIGINT) AS VARCHAR)"
+_TWO = "lpad(" + _NUMBER + ", 2, '0')"
 
 
-@query(f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN u < 0.70 THEN 'word' WHEN u < 0.76 THEN 'money' WHEN u < 0.82 THEN 'date' WHEN u < 0.87 THEN 'name' WHEN u < 0.91 THEN 'mail' WHEN u < 0.95 THEN 'invoice' WHEN u < 0.98 THEN 'percent' ELSE 'phone' END AS kind FROM (SELECT {_PLACE} AS u FROM truth)) GROUP BY kind")
+@query(f"""
+WITH drawn AS (SELECT image, i AS pos, word, {_drawn('1234', 'image', 'i')} AS u, {_drawn('1234-value', 'image', 'i')} AS v FROM truth), kinds AS (
+  SELECT *, CASE WHEN u < 0.70 THEN 'word' WHEN u < 0.76 THEN 'money' WHEN u < 0.82 THEN 'date' WHEN u < 0.87 THEN 'name' WHEN u < 0.91 THEN 'mail' WHEN u < 0.95 THEN 'invoice' WHEN u < 0.98 THEN 'percent' ELSE 'phone' END AS kind FROM drawn
+) SELECT image, pos, kind, CASE kind WHEN 'money' THEN '$' || {_NUMBER.format(1, 2000)} || '.' || {_TWO.format(0, 100)} WHEN 'date' THEN {_TWO.format(1, 29)} || '/' || {_TWO.format(1, 13)} || '/' || {_NUMBER.format(1990, 2027)}
+  WHEN 'name' THEN upper(substr(word, 1, 1)) || lower(substr(word, 2)) WHEN 'mail' THEN lower(word) || '@example.com' WHEN 'invoice' THEN 'INV-' || {_NUMBER.format(10000, 99999)}
+  WHEN 'percent' THEN {_NUMBER.format(1, 100)} || '%' WHEN 'phone' THEN {_NUMBER.format(200, 999)} || '-' || {_NUMBER.format(200, 999)} || '-' || {_NUMBER.format(1000, 9999)} ELSE word END AS token FROM kinds""")
 def token_mixture(spark, sf_dir):
     from quirework.plans.generate import mixed_line
 
     words = S.samples(spark, sf_dir).select("image", F.posexplode("words").alias("pos", "word"))
-    return mixed_line(words).groupBy("kind").agg(F.count("*").alias("n"))
+    return mixed_line(words).select("image", F.col("pos").cast("long").alias("pos"), "kind", "token")
+
+
+def _whole(seed: str, low: int, high: int) -> str:
+    return f"CAST({low} + floor({_drawn('1234-' + seed, 'image')} * {high - low + 1}) AS BIGINT)"
+
+
+def _one_of(seed: str, values: list[str], key: str = "image") -> str:
+    listed = ", ".join("'" + v + "'" for v in values)
+    return f"([{listed}])[CAST(floor({_drawn(seed, *key.split('|'))} * {len(values)}) AS BIGINT) + 1]"
+
+
+def _money(what: str) -> str:
+    return f"{_whole(what + '-a', 0, 999)} || '.' || lpad(CAST({_whole(what + '-b', 0, 99)} AS VARCHAR), 2, '0')"
+
+
+def _receipt_sql() -> str:
+    from quirework.plans import generate as G
+
+    p = lambda what, values: _one_of(f"1234-{what}", values)
+    two = lambda what, low, high: f"lpad(CAST({_whole(what, low, high)} AS VARCHAR), 2, '0')"
+    items = f"array_to_string(list_transform(range(1, {_whole('n', 1, 4)} + 1), lambda k: {_one_of('1234-item', G.ITEMS, 'image|k')}), ' ')"
+    line = f"upper(substr(t, 1, 1)) || substr(t, 2) || {p('end', G.ENDINGS)}"
+    made = {
+        "item": f"{_whole('count', 1, 9)} || ' ' || {items} || ' ' || {p('rate', ['', 'SR ', 'ZR ', 'RM '])} || {_money('price')}",
+        "sum": f"{p('label', G.LABELS)} || {p('gap', [' : ', ': ', ' ', ' RM '])} || {p('sign', ['', '-'])} || {_money('sum')}",
+        "date": f"'DATE: ' || {two('day', 1, 28)} || '/' || {two('month', 1, 12)} || '/' || {_whole('year', 2010, 2030)} || ' ' || {two('hour', 0, 23)} || ':' || {two('minute', 0, 59)} || ':' || {two('second', 0, 59)}",
+        "phone": f"{p('tel', ['TEL', 'TEL:', 'FAX', 'PHONE'])} || ' ' || {_whole('area', 0, 9)} || {_whole('code', 1, 9)} || '-' || {_whole('local', 1_000_000, 9_999_999)}",
+        "number": f"{p('what', ['GST ID', 'GST REG NO', 'INVOICE NO', 'DOC NO', 'RECEIPT #', 'BILL NO'])} || {p('gap', [': ', ' : ', ' '])} || {p('prefix', ['', 'CS', 'OR', 'INV'])} || {_whole('id', 10**5, 10**12)}",
+        "tax": f"{p('rate', ['SR', 'ZR', 'TX'])} || ' ' || {p('percent', ['0', '6', '10'])} || ' ' || {_money('net')} || ' ' || {_money('tax')}",
+        "text": f"CASE WHEN {_drawn('1234-case', 'image')} < 0.6 THEN upper({line}) ELSE {line} END",
+    }
+    shares = " ".join(f"WHEN u < {upto} THEN '{name}'" for name, upto in G.RECEIPT[:-1])
+    cases = " ".join(f"WHEN '{name}' THEN {sql}" for name, sql in made.items())
+    return f"""
+WITH kinds AS (
+  SELECT image, array_to_string(words[1:7], ' ') AS t, CASE {shares} ELSE 'text' END AS kind FROM (SELECT *, {_drawn('1234-kind', 'image')} AS u FROM samples)
+) SELECT image, kind, CASE kind {cases} END AS line FROM kinds"""
+
+
+@query(_receipt_sql())
+def receipt_lines(spark, sf_dir):
+    """A receipt line for each sample; lines of text take the sample's first seven words."""
+    from quirework.plans.generate import receipt_lines as made
+
+    rows = S.samples(spark, sf_dir).select("image", F.slice("words", 1, 7).alias("w"))
+    return made(rows, F.col("w")).select("image", "kind", "line")
+
+
+_PAGE_SIGMA = "sigmas AS (SELECT image, CAST(len(words) * 7 % 97 AS DOUBLE) / 16.0 AS sigma FROM samples WHERE line_no % 5 <> 4)"
+
+
+def _sigmas(spark, sf_dir):
+    """A noise level made of the number of words; every fifth line of a text has none."""
+    return S.samples(spark, sf_dir).filter("line_no % 5 <> 4").select("image", (F.size("words") * 7 % 97 / 16.0).alias("sigma"))
+
+
+@query(_AGREEMENT + f""", {_PAGE_SIGMA}
+SELECT a.image, CASE WHEN coalesce(sigma, 0) > 3.0 THEN 'noisy' WHEN agreement >= 0.98 THEN 'cheap' ELSE 'full' END AS route FROM agreed a LEFT JOIN sigmas USING (image)""")
+def page_route(spark, sf_dir):
+    """Which readers each page goes to: those for noisy pages, the cheap ones alone, or all."""
+    from quirework.plans.pages import routes
+
+    pages = S.samples(spark, sf_dir).select("image").join(_sigmas(spark, sf_dir), "image", "left")
+    return routes(pages, _agreement(spark, sf_dir), 3.0, 0.98)
+
+
+@query(_CER + f""", {_PAGE_SIGMA}, per_set AS (
+  SELECT t, f.system, f.dataset, avg(CASE WHEN coalesce(sigma, 0) > t THEN f.cer ELSE m.cer END) AS cer
+  FROM scored f JOIN scored m ON m.image = f.image AND m.system = 'north/raw' LEFT JOIN sigmas s ON s.image = f.image CROSS JOIN (SELECT unnest([2.5, 3.0, 3.5, 4.0]) AS t) WHERE f.system <> 'north/raw' GROUP BY ALL
+) SELECT CAST(t AS DOUBLE) AS threshold, system, round(avg(cer), 6) AS cer FROM per_set GROUP BY t, system""")
+def quality_router_sweep(spark, sf_dir):
+    """The error if noisy pages go to another source, for each noise level and source."""
+    from quirework.plans.tuning import NOISE_LEVELS, route_errors
+
+    return _rounded(route_errors(_scored(spark, sf_dir), _sigmas(spark, sf_dir), "north/raw", NOISE_LEVELS), "cer")
+
+
+@query(_CER + "SELECT split_part(system, '/', 1) AS model, split_part(system, '/', 2) AS variant, " + ", ".join(f"round(avg(cer){'' if x == 'all' else f' FILTER (level = {chr(39)}{x}{chr(39)})'}, 6) AS \"{x}\"" for x in metrics.LEVELS) + " FROM scored GROUP BY ALL")
+def ablation_report(spark, sf_dir):
+    """Mean error by engine and variant, a column for each level."""
+    from quirework.plans.pages import ablation
+
+    return _rounded(ablation(_scored(spark, sf_dir).withColumn("source", F.col("system"))), *metrics.LEVELS)

@@ -15,6 +15,7 @@ from quirework.functions import text as T
 #: Source, period and place of its change, seen and truth, factor and offset of its confidences.
 SOURCES = [("north/raw", 9, 4, "m", "rn", 37, 17, 0.45), ("south/raw", 11, 5, "d", "cl", 29, 34, 0.38), ("west/soft", 7, 3, "e", "c", 23, 51, 0.22)]
 MISSED, DOUBLED = (17, 8), (13, 6)
+LINE_WORDS = 8
 LEVEL_OF = {"en": "clean", "de": "medium", "fr": "hard"}
 WEIGHTS = [(s[0], s[7], i) for i, s in enumerate(SOURCES)]
 
@@ -72,9 +73,10 @@ def words_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, image, source, lines): the readings cache, one line a page."""
+    """(dataset, image, source, lines): the readings cache, LINE_WORDS words a line."""
     line = F.transform("said", lambda w: F.struct(w["word"].alias("word"), w["conf"].alias("conf")))
-    return read_words(spark, sf_dir).select("dataset", "image", "source", F.array(line).alias("lines"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("said"), F.lit(1)), F.lit(LINE_WORDS))
+    return read_words(spark, sf_dir).select("dataset", "image", "source", F.transform(starts, lambda k: F.slice(line, k, F.lit(LINE_WORDS))).alias("lines"))
 
 
 def _sql() -> str:
