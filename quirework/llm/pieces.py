@@ -6,7 +6,8 @@ A segment's symbols start as characters; an agenda holds the adjacent pairs whos
 leftmost, and each merge enters the two new pairs. Symbols left without an id become bytes.
 
 Segments are remembered by worker processes in two generations of bounded size. The segments that are new in an
-Arrow batch are joined and encoded by the library as well; where it differs, the segment takes the library's ids.
+Arrow batch are joined and encoded by the library as well; where it differs, the segment takes the library's ids, and every
+document that holds it says so: `n_borrowed` counts a document's segments whose ids are the library's, not the agenda's.
 
 Defined results: a null or empty text is its begin and end id and decodes to ""; repeated rows are encoded one by one;
 texts of any length go through whole, in time n log n at worst; an empty table gives no rows.
@@ -54,6 +55,7 @@ class Encoder:
         self.ids = {lib.id_to_piece(i): pack(i) for i in plain}
         self.of_byte = [pack(lib.piece_to_id(f"<0x{b:02X}>")) for b in range(256)]
         self.head, self.tail = pack(lib.bos_id()), pack(lib.eos_id())
+        self.borrowed: set[str] = set()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -90,11 +92,12 @@ class Encoder:
         for group in (solid, *([s] for s in segments if s[-1] == BLANK)):
             found = [self.merge(s) for s in group]
             if group and b"".join(found) != self._library_ids(group):
-                found = [self._library_ids([s]) for s in group]
+                own, found = found, [self._library_ids([s]) for s in group]
+                self.borrowed.update(s for s, x, y in zip(group, own, found) if x != y)
             self.young.update(zip(group, found))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, with begin and end ids."""
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[int]]:
+        """Ids of each text, with begin and end ids; how many of its segments took the library's ids instead of the agenda's."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         split = [_SEGMENT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
@@ -108,7 +111,8 @@ class Encoder:
                         new[s] = None
         self._learn(list(new))
         get = young.__getitem__
-        return [self.head + b"".join(map(get, segments)) + self.tail for segments in split]
+        borrowed = [sum(s in self.borrowed for s in segments) for segments in split] if self.borrowed else [0] * len(split)
+        return [self.head + b"".join(map(get, segments)) + self.tail for segments in split], borrowed
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.library.decode([np.frombuffer(x, dtype="<u4").tolist() for x in ids], num_threads=1)
@@ -121,13 +125,13 @@ def encoder(path: str) -> Encoder:
     return _workers[path]
 
 
-def _mapped(path: str, out: Callable[[Encoder, pa.Array, list[bytes]], pa.RecordBatch]):
+def _mapped(path: str, out: Callable[[Encoder, pa.Array, list[bytes], list[int]], pa.RecordBatch]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             for a, b in textkit.slices(texts):
-                ids = encoder(path).encode(texts.slice(a, b - a).to_pylist())
-                yield out(encoder(path), batch.column("doc_id").slice(a, b - a), ids)
+                ids, borrowed = encoder(path).encode(texts.slice(a, b - a).to_pylist())
+                yield out(encoder(path), batch.column("doc_id").slice(a, b - a), ids, borrowed)
 
     return run
 
@@ -137,21 +141,21 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array<int>) and decoded (string) of each row of `docs` (doc_id, text)."""
+    """doc_id, ids (array<int>), decoded (string) and n_borrowed of each row of `docs` (doc_id, text)."""
 
-    def out(coder: Encoder, doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    def out(coder: Encoder, doc_ids: pa.Array, ids: list[bytes], borrowed: list[int]) -> pa.RecordBatch:
         offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
         flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-        return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(offsets, flat), pa.array(coder.decode(ids), type=pa.large_string())], names=["doc_id", "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(offsets, flat), pa.array(coder.decode(ids), type=pa.large_string()), pa.array(borrowed, type=pa.int64())], names=["doc_id", "ids", "decoded", "n_borrowed"])
 
-    return _rows(docs).mapInArrow(_mapped(path or model_path(), out), "doc_id long, ids array<int>, decoded string")
+    return _rows(docs).mapInArrow(_mapped(path or model_path(), out), "doc_id long, ids array<int>, decoded string, n_borrowed long")
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the same ids and texts, which don't leave the Python workers."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_borrowed of the same ids and texts, which don't leave the Python workers."""
 
-    def out(coder: Encoder, doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    def out(coder: Encoder, doc_ids: pa.Array, ids: list[bytes], borrowed: list[int]) -> pa.RecordBatch:
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(t.encode()) for t in coder.decode(ids)])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(t.encode()) for t in coder.decode(ids)]), pa.array(borrowed, type=pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_borrowed"])
 
-    return _rows(docs).mapInArrow(_mapped(path or model_path(), out), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _rows(docs).mapInArrow(_mapped(path or model_path(), out), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_borrowed long")

@@ -221,8 +221,17 @@ def test_token_ids(spark):
     for i, t in enumerate(texts):
         ids = [library.bos_id(), *library.encode(t or ""), library.eos_id()]
         assert whole[i]["ids"] == ids and whole[i]["decoded"] == library.decode(ids)
+        assert whole[i]["n_borrowed"] == digests[i]["n_borrowed"] == 0
         assert digests[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and digests[i]["n_tokens"] == len(ids)
         for segment in pieces._SEGMENT.findall("▁" + (t or "").replace(" ", "▁")):
             if segment[-1] != "▁":
                 assert coder.merge(segment) == np.array(library.encode(segment[1:].replace("▁", " ")), "<u4").tobytes()
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_broken_agenda_shows():
+    coder = pieces.Encoder(pieces.model_path())
+    right = coder.encode(["the text of the book"])[0]
+    coder = pieces.Encoder(pieces.model_path())
+    coder.merge = lambda segment: coder.of_byte[65]
+    assert coder.encode(["the text of the book", None]) == ([*right, coder.head + coder.tail], [5, 0])
