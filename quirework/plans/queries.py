@@ -591,7 +591,7 @@ _TWO = "lpad(" + _NUMBER + ", 2, '0')"
 WITH drawn AS (SELECT image, i AS pos, word, {_drawn('1234', 'image', 'i')} AS u, {_drawn('1234-value', 'image', 'i')} AS v FROM truth), kinds AS (
   SELECT *, CASE WHEN u < 0.70 THEN 'word' WHEN u < 0.76 THEN 'money' WHEN u < 0.82 THEN 'date' WHEN u < 0.87 THEN 'name' WHEN u < 0.91 THEN 'mail' WHEN u < 0.95 THEN 'invoice' WHEN u < 0.98 THEN 'percent' ELSE 'phone' END AS kind FROM drawn
 ) SELECT image, pos, kind, CASE kind WHEN 'money' THEN '$' || {_NUMBER.format(1, 2000)} || '.' || {_TWO.format(0, 100)} WHEN 'date' THEN {_TWO.format(1, 29)} || '/' || {_TWO.format(1, 13)} || '/' || {_NUMBER.format(1990, 2027)}
-  WHEN 'name' THEN upper(substr(word, 1, 1)) || lower(substr(word, 2)) WHEN 'mail' THEN lower(word) || '@example.com' WHEN 'invoice' THEN 'INV-' || {_NUMBER.format(10000, 99999)}
+  WHEN 'name' THEN upper(replace(substr(word, 1, 1), 'ß', 'SS')) || lower(substr(word, 2)) WHEN 'mail' THEN lower(word) || '@example.com' WHEN 'invoice' THEN 'INV-' || {_NUMBER.format(10000, 99999)}
   WHEN 'percent' THEN {_NUMBER.format(1, 100)} || '%' WHEN 'phone' THEN {_NUMBER.format(200, 999)} || '-' || {_NUMBER.format(200, 999)} || '-' || {_NUMBER.format(1000, 9999)} ELSE word END AS token FROM kinds""")
 def token_mixture(spark, sf_dir):
     from quirework.plans.generate import mixed_line
@@ -619,7 +619,7 @@ def _receipt_sql() -> str:
     p = lambda what, values: _one_of(f"1234-{what}", values)
     two = lambda what, low, high: f"lpad(CAST({_whole(what, low, high)} AS VARCHAR), 2, '0')"
     items = f"array_to_string(list_transform(range(1, {_whole('n', 1, 4)} + 1), lambda k: {_one_of('1234-item', G.ITEMS, 'image|k')}), ' ')"
-    line = f"upper(substr(t, 1, 1)) || substr(t, 2) || {p('end', G.ENDINGS)}"
+    line = f"upper(replace(substr(t, 1, 1), 'ß', 'SS')) || substr(t, 2) || {p('end', G.ENDINGS)}"
     made = {
         "item": f"{_whole('count', 1, 9)} || ' ' || {items} || ' ' || {p('rate', ['', 'SR ', 'ZR ', 'RM '])} || {_money('price')}",
         "sum": f"{p('label', G.LABELS)} || {p('gap', [' : ', ': ', ' ', ' RM '])} || {p('sign', ['', '-'])} || {_money('sum')}",
@@ -627,7 +627,7 @@ def _receipt_sql() -> str:
         "phone": f"{p('tel', ['TEL', 'TEL:', 'FAX', 'PHONE'])} || ' ' || {_whole('area', 0, 9)} || {_whole('code', 1, 9)} || '-' || {_whole('local', 1_000_000, 9_999_999)}",
         "number": f"{p('what', ['GST ID', 'GST REG NO', 'INVOICE NO', 'DOC NO', 'RECEIPT #', 'BILL NO'])} || {p('gap', [': ', ' : ', ' '])} || {p('prefix', ['', 'CS', 'OR', 'INV'])} || {_whole('id', 10**5, 10**12)}",
         "tax": f"{p('rate', ['SR', 'ZR', 'TX'])} || ' ' || {p('percent', ['0', '6', '10'])} || ' ' || {_money('net')} || ' ' || {_money('tax')}",
-        "text": f"CASE WHEN {_drawn('1234-case', 'image')} < 0.6 THEN upper({line}) ELSE {line} END",
+        "text": f"CASE WHEN {_drawn('1234-case', 'image')} < 0.6 THEN upper(replace({line}, 'ß', 'SS')) ELSE {line} END",
     }
     shares = " ".join(f"WHEN u < {upto} THEN '{name}'" for name, upto in G.RECEIPT[:-1])
     cases = " ".join(f"WHEN '{name}' THEN {sql}" for name, sql in made.items())
