@@ -36,15 +36,34 @@ def levenshtein_table(a: Sequence, b: Sequence) -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1 << 15)
+def _places(word: str) -> dict[str, int]:
+    """For each character the set of its places, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(word):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
 @lru_cache(maxsize=1 << 17)
 def folded_gap(a: str, b: str) -> float:
-    """Distance of two different lower-cased words, over the longer length."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        left, row[0] = row[0], i + 1
-        for j, y in enumerate(b):
-            left, row[j + 1] = row[j + 1], left if x == y else 1 + min(left, row[j], row[j + 1])
-    return row[-1] / max(len(a), len(b))
+    """Distance of two different lower-cased words, over the longer length.
+
+    A column of the table goes through at once: two bit sets hold where it rises and falls (Myers 1999).
+    """
+    if not a or not b:
+        return 1.0
+    places, every, last = _places(a), (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, distance = every, 0, len(a)
+    for c in b:
+        same = places.get(c, 0)
+        still = ((((same & rises) + rises) ^ rises) | same) & every
+        up, down = falls | (every & ~(still | rises)), rises & still
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, down << 1 & every
+        held = same | falls
+        rises, falls = down | (every & ~(held | up)), up & held
+    return distance / max(len(a), len(b))
 
 
 def align(ref: Sequence[str], hyp: Sequence[str]) -> list[tuple[int | None, int | None]]:
