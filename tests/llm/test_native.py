@@ -1,10 +1,16 @@
 """Quality, licences, sharding and mixing: edge cases, and the queries without SQL against brute force."""
 
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import licenses, mixing, quality, sharding
+from quirework.llm.license_texts import TEMPLATES
 
 DOCS = "doc_id long, text string, lang string, source string, size int, number int"
 ROWS = [
@@ -104,3 +110,91 @@ def test_mixing(docs, none, spark):
         free = [s for s in total if total[s][1] < 3 * total[s][2] - 1e-6]
         if source in free:
             assert abs(total[source][1] / weight - total[free[0]][1] / {"a": 1, "b": 2, "c": 3, None: 1}[free[0]]) < 1e-3
+
+
+ENDS = ["\u0085", "\u2028", "\u2029", "", " ", "\u00a0"]
+SPACES = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_words_end_as_the_contract_says(spark):
+    texts = [f"{lead}a b mit license.{gap}{end}" for lead in ENDS for gap in ("", " ", "\n") for end in ENDS]
+    rows = [(i, t, "en", "s", 0, 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    judged = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    sizes = {r["doc_id"]: r["size"] for r in mixing.mix(df).collect()}
+    found = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for i, t in enumerate(texts):
+        words = SPACES.findall(t)
+        assert judged[i]["n_words"] == sizes[i] == len(words) and judged[i]["word_chars"] == sum(map(len, words))
+        plain = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+        places = [k for k in range(len(plain) - 1) if plain[k : k + 2] == ["mit", "license"]]
+        assert (found[i]["n_words"], found[i]["n_base"], found[i]["first_word"]) == (len(plain), len(places), places[0] if places else None)
+
+
+def test_word_salad_and_wrong_languages_are_rejected_by_their_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    long = docs.filter(F.size(F.split("text", " ")) >= 200)
+    backwards = F.array_join(F.transform(F.split("text", "(?<=[ \n])|(?=[ \n])"), lambda w: F.reverse(w)), "")
+    salad = long.filter("doc_id % 20 = 3").withColumn("text", backwards).withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    wrong = long.filter("doc_id % 20 = 4").withColumn("lang", F.when(F.col("lang") == "en", "de").otherwise("en")).withColumn("doc_id", F.col("doc_id") + 2_000_000)
+    got = quality.judge(docs.unionByName(salad).unionByName(wrong)).filter("not base_failed and char_distance < 0.15").collect()
+    kept = lambda low, high: [r["kept"] for r in got if low <= r["doc_id"] < high and r["n_words"] >= 200]
+    assert len(kept(10**6, 2 * 10**6)) > 10 and not any(kept(10**6, 2 * 10**6))
+    assert len(kept(2 * 10**6, 3 * 10**6)) > 10 and sum(kept(2 * 10**6, 3 * 10**6)) <= 1
+    assert sum(kept(0, 10**6)) >= 0.97 * len(kept(0, 10**6))
+
+
+def test_full_licence_texts_are_found(spark):
+    head = "Copyright (c) 2020 someone. All rights reserved.\n\n"
+    rows = [(i, head + text, "en", "s", 0, 0) for i, (_, text, _) in enumerate(TEMPLATES)]
+    edited = TEMPLATES[[t[0] for t in TEMPLATES].index("bsd-3-clause")][1].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    rows += [(100, head + edited, "en", "s", 0, 0), (101, "Permission is hereby granted, free of charge, to copy.", "en", "s", 0, 0), (102, "plain words only", "en", "s", 0, 0)]
+    rows += [(200 + i, "the of and to any this software is provided with use or by " * 5, "en", "s", 0, 0) for i in range(40)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, (label, _, _) in enumerate(TEMPLATES):
+        assert label in got[i]["labels"].split(","), (label, got[i]["labels"])
+    assert "bsd-3-clause" in got[100]["labels"] and got[101]["labels"] == "" and got[102]["score"] == 0.0
+    assert all(got[200 + i]["labels"] == "" for i in range(40))
+
+
+def test_inclusion_follows_the_odds(spark):
+    rng = random.Random(3)
+    sizes = [rng.choice([3, 8, 20, 60]) for _ in range(60)] + [400, 900]
+    rows = [(i, "w " * n, None, "a", 0, 0) for i, n in enumerate(sizes)] + [(1000 + i, "v " * 50, None, "b", 0, 0) for i in range(10)]
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    first = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    target, total = first[0]["target"], sum(sizes)
+    rest = target - math.floor(target / total) * total
+    sure = set()
+    while True:
+        c = (rest - sum(sizes[i] for i in sure)) / sum(n * n for i, n in enumerate(sizes) if i not in sure)
+        over = {i for i, n in enumerate(sizes) if i not in sure and c * n >= 1}
+        if not over:
+            break
+        sure |= {i for i in over if sizes[i] == max(sizes[k] for k in over)}
+    # the same rule as the operator's, drawn by other numbers many times: how often each size is taken
+    want, runs = Counter(), 4000
+    for _ in range(runs):
+        taken = sum(sizes[i] for i in sure)
+        u = {i: rng.random() for i in range(len(sizes)) if i not in sure}
+        for i in sorted(u, key=lambda i: u[i] / (1 - u[i]) * (1 - c * sizes[i]) / (c * sizes[i])):
+            if taken + sizes[i] / 2 >= rest:
+                break
+            taken += sizes[i]
+            want[sizes[i]] += 1
+    seen, seeds = Counter(), 12
+    for seed in range(seeds):
+        rows = mixing.mix(df, seed=f"s{seed}").filter("source_size > 1000").collect()
+        base = math.floor(target / total)
+        assert all(r["copies"] == base + 1 for r in rows if r["doc_id"] in sure)
+        for r in rows:
+            seen[r["size"]] += (r["copies"] > base) and r["doc_id"] not in sure
+    for size in (8, 20, 60):
+        n = sizes.count(size)
+        assert abs(seen[size] / seeds / n - want[size] / runs / n) < 0.17, size
+
+
+def test_numbers_are_ranks(docs):
+    rows = sorted(sharding.shard(docs).collect(), key=lambda r: r["row_number"])
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in rows]
+    assert keys == sorted(keys)
