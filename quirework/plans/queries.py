@@ -559,15 +559,7 @@ def repaired_text(spark, sf_dir):
     return system_text(spark, S.readings(spark, sf_dir), config, lexicon.build(io.corpus_words(texts)))
 
 
-_WIDTH = "30 + CAST(floor(CAST(CAST('0x' || substr(md5('wrap:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 * 56) AS INTEGER)"
-
-
-@query(f"""
-WITH split AS (SELECT doc_id, {_WIDTH} AS width, regexp_extract_all(text, '[^\\s]+') AS words FROM documents), filled AS (
-  SELECT doc_id, string_split(list_reduce(words, lambda t, w: t || CASE WHEN (CASE WHEN contains(t, chr(10)) THEN strpos(reverse(t), chr(10)) - 1 ELSE length(t) END) + 1 + length(w) > width THEN chr(10) ELSE ' ' END || w), chr(10)) AS lines
-  FROM split WHERE len(words) > 0
-) SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM filled
-""", base=False)
+@query()
 def wrapped_lines(spark, sf_dir):
     """Every document's words in lines of up to 30 to 85 characters, a width drawn for each document."""
     from quirework.plans.generate import uniform
