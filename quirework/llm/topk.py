@@ -4,7 +4,8 @@ Rows are ordered so that neighbours are alike: a tree of median splits, each alo
 is fitted on a sample of at most SAMPLE_ROWS rows and sends every row to a leaf; document ranges of (leaf, id) make the blocks.
 A block is a forward index (ids and a matrix of components) with the largest and smallest value of each component ("term").
 A query's bound for a block is the sum over its terms of the better product with one of the two. In a group of blocks a query
-visits them by falling bound and stops when the bound falls below its k-th score. A block is scored through its forward
+visits them by falling bound, in waves of 1, 2, 4 and more blocks that it shares with other queries, and leaves out those whose
+bound has fallen below its k-th score. A block is scored through its forward
 index in two parts: after the components that vary most, a row's bound is its score so far plus the product of the norms of
 what is left, and only rows whose bound reaches the k-th score are scored to the end. Equal bounds are still scored, because ties go
 to the smaller id. The sample moves rows between blocks, never a result.
@@ -155,18 +156,23 @@ def best_of(queries: tuple, blocks: list[tuple], k: int, order: np.ndarray | Non
     norm = lambda m: np.sqrt((m[:, tail].astype(np.float64) ** 2).sum(axis=1))
     left, kept = norm(matrix), [norm(m) for _, _, m in blocks]
     visits = np.argsort(-bounds.astype(np.float64), axis=1, kind="stable")
-    ended = 0
-    for step in range(len(blocks)):
-        at = visits[:, step]
-        alive = bounds[np.arange(n), at] >= scores[:, k - 1]
-        for b in np.unique(at[alive]):
-            who = np.flatnonzero(alive & (at == b))
+    ended, begin, end = 0, 0, 1
+    while begin < len(blocks):
+        wave = visits[:, begin:end]
+        begin, end = end, min(2 * end + 1, len(blocks))
+        for b in np.unique(wave):
+            who = np.flatnonzero((wave == b).any(axis=1) & (bounds[:, b] >= scores[:, k - 1]))
+            if not len(who):
+                continue
             block_ids, block_marks, block = blocks[b]
             kth = scores[who, k - 1][:, None]
             if exact and len(tail):
                 found = _product(matrix[np.ix_(who, head)], block[:, head].T)
                 q, r = np.nonzero(found + left[who][:, None] * kept[b][None, :] * (1 + 1e-9) + 1 >= kth)
-                value = found[q, r] + np.einsum("ij,ij->i", matrix[np.ix_(who, tail)][q], block[:, tail][r])
+                if 4 * len(q) > found.size:  # many are left: one product is cheaper than picking them
+                    value = (found + _product(matrix[np.ix_(who, tail)], block[:, tail].T))[q, r]
+                else:
+                    value = found[q, r] + np.einsum("ij,ij->i", matrix[np.ix_(who, tail)][q], block[:, tail][r])
             else:
                 found = _product(matrix[who], block.T)
                 q, r = (x.ravel() for x in np.indices(found.shape))
