@@ -74,9 +74,9 @@ def words_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, image, source, lines): the readings cache, LINE_WORDS words a line."""
-    line = F.transform("said", lambda w: F.struct(w["word"].alias("word"), w["conf"].alias("conf")))
     starts = F.sequence(F.lit(1), F.greatest(F.size("said"), F.lit(1)), F.lit(LINE_WORDS))
-    return read_words(spark, sf_dir).select("dataset", "image", "source", F.transform(starts, lambda k: F.slice(line, k, F.lit(LINE_WORDS))).alias("lines"))
+    line = lambda k: F.transform(F.slice("said", k, F.lit(LINE_WORDS)), lambda w: F.struct(w["word"].alias("word"), w["conf"].alias("conf")))
+    return read_words(spark, sf_dir).select("dataset", "image", "source", F.transform(starts, line).alias("lines"))
 
 
 def _sql() -> str:
