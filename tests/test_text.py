@@ -1,8 +1,10 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
+from quirework.operators import kernels
 
 
 def lev(a, b):
@@ -76,3 +78,33 @@ def test_deletes_and_rejoining(spark):
     assert values(spark, [('He said , " yes " ( it \'s ) .',)], "t string", T.detokenize(F.col("t"))) == ['He said, "yes" (it\'s).']
     assert values(spark, [("“x” — ‘y’ ñz",)], "t string", T.plain_ascii(F.col("t"))) == ["\"x\" -- 'y' z"]
     assert [tuple(x) for x in values(spark, [("tesseract-eng_ft-line/raw",)], "t string", T.engine_parts(T.source_parts(F.col("t"))["engine"]))] == [("tesseract", "eng_ft", True)]
+
+
+def test_distances_of_long_texts_take_seconds(spark):
+    """Bands of the lengths' product took minutes for these."""
+    rng = random.Random(7)
+    near, far = ("".join(rng.choice("abcdefgh ") for _ in range(100_000)) for _ in range(2))
+    changed = list(near)
+    for k in range(50, 100_000, 50):
+        changed[k] = "xy"  # a change and an extra character
+    began = time.perf_counter()
+    got = values(spark, [(near, "".join(changed)), (near, near)], "a string, b string", T.distance(F.col("a"), F.col("b")))
+    assert got[1] == 0 and got[0] == 2 * len(range(50, 100_000, 50))
+    # far apart: many edits go through bit sets
+    assert kernels.distances([near[:3000]], [far[:2500]]) == [lev(near[:3000], far[:2500])]
+    assert time.perf_counter() - began < 40
+
+
+def test_pairs_of_one_table_keep_apart(spark):
+    rng = random.Random(9)
+    for alphabet in ("ab", "aé日😀", "".join(map(chr, range(0x4E00, 0x4E00 + 900)))):
+        a = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(300)]
+        b = [x[:20] + x[22:] if rng.random() < 0.5 else "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for x in a]
+        want = [lev(x, y) for x, y in zip(a, b)]
+        assert kernels.distances(a, b).tolist() == want == kernels.distances([list(x) for x in a], [list(y) for y in b]).tolist()
+
+
+def test_rates_of_null_texts(spark):
+    rows = [(None, "x"), ("x", None), ("", None), (None, None), ("a b", "a c")]
+    assert values(spark, rows, "a string, b string", T.cer(F.col("a"), F.col("b"))) == [None, None, 1.0, None, 1 / 3]
+    assert values(spark, rows, "a string, b string", T.wer(F.col("a"), F.col("b"))) == [None, None, 1.0, None, 0.5]
