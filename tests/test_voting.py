@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quirework.operators import kernels, voting
 
 
@@ -111,3 +113,32 @@ def test_ballots():
     assert kernels.ballots("abc", "axc") == [(0, 1, "a"), (1, 1, "x"), (2, 1, "c")]
     assert sorted(kernels.ballots("ab", "aXYb")) == [(0, 1, "a"), (1, 0, "XY"), (1, 1, "b")]
     assert kernels.ballots("abc", "ac") == [(0, 1, "a"), (1, 1, ""), (2, 1, "c")] and kernels.ballots("a", "ab") == [(0, 1, "a"), (1, 0, "b")]
+
+
+def misread(rng, words):
+    out = []
+    for w in words:
+        x = rng.random()
+        out += [] if x < 0.08 else [w] if x < 0.8 else [w.replace("m", "rn")] if x < 0.9 else [w, rng.choice(words)]
+    return out
+
+
+def test_alignments_of_many_pairs_ask_for_few_gaps_and_equal_the_whole_table(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcmrst") for _ in range(rng.randint(1, 7))) for _ in range(200)] + ["tsar", "rats", "star", "arts"]
+    refs = [[rng.choice(words) for _ in range(rng.choice([1, 5, 40, 90]))] for _ in range(60)]
+    pairs = [(r, misread(rng, r)) for r in refs] + [(r, rng.sample(words, 12)) for r in refs[:10]] + [([], words[:3]), (words[:3], [])]
+    asked, gap = set(), kernels.folded_gap
+    monkeypatch.setattr(kernels, "folded_gap", lambda a, b: asked.add((a, b)) or gap(a, b))
+    known = sorted({w for p in pairs for side in p for w in side})
+    number = {w: i for i, w in enumerate(known)}
+    coded = [[[number[w] for w in side] for side in p] for p in pairs]
+    whole = [kernels._path(*kernels._band(r, h, 200), len(h), 200) for r, h in pairs]
+    every = len(asked)
+    for cells, rounds in ((kernels._BAND_CELLS, kernels._BAND_ROUNDS), (150, 1)):
+        monkeypatch.setattr(kernels, "_BAND_CELLS", cells)
+        monkeypatch.setattr(kernels, "_BAND_ROUNDS", rounds)
+        asked.clear()
+        found = kernels.alignments([np.array(r, dtype=np.int64) for r, _ in coded], [np.array(h, dtype=np.int64) for _, h in coded], known)
+        assert [[(None if i < 0 else i, None if j < 0 else j) for i, j in zip(*(x.tolist() for x in f))] for f in found] == whole
+        assert rounds == 1 or len(asked) < every / 10
