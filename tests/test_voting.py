@@ -142,3 +142,29 @@ def test_alignments_of_many_pairs_ask_for_few_gaps_and_equal_the_whole_table(mon
         found = kernels.alignments([np.array(r, dtype=np.int64) for r, _ in coded], [np.array(h, dtype=np.int64) for _, h in coded], known)
         assert [[(None if i < 0 else i, None if j < 0 else j) for i, j in zip(*(x.tolist() for x in f))] for f in found] == whole
         assert rounds == 1 or len(asked) < every / 10
+
+
+def test_pages_are_fused_in_one_pass_as_step_by_step(spark):
+    rng = random.Random(7)
+    words = ["corner", "brown", "fox", "a", "mm", "Dear", "x1"]
+    rows, names = [], ["a/x", "b/x", "c/x", "d/x"]
+    for page in range(25):
+        text = [rng.choice(words) for _ in range(rng.choice([0, 1, 6, 30]))]
+        for s in names[: rng.randint(1, 4)]:
+            said = [(w, rng.randrange(50, 100) / 100) for w in misread(rng, text)]
+            rows.append((f"p{page}", s, [said[k : k + 5] for k in range(0, len(said), 5)] + [[]] * rng.randint(0, 1)))
+    readings = spark.createDataFrame(rows, f"image string, source string, lines {voting.LINES}")
+    weights = spark.createDataFrame([(s, w, i) for i, (s, w) in enumerate(zip(names, (0.45, 0.38, 0.22, 0.3)))], "source string, weight double, ord int")
+    ranked = voting.with_trust(voting.selected(readings, weights, 0.52))
+    votes = voting.network(ranked)
+    tallied = voting.tally(votes)
+    want = {(r["image"], r["line_no"]): r["words"] for r in voting.layout(voting.char_voted(votes, voting.winners(tallied)), ranked.filter("pivot_rank = 1")).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # pages go on in the next batch
+    got = voting.fuse(readings, weights, 0.52, alternatives=True).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near = lambda ws: [(tuple(w["slot"]), w["word"], round(w["share"], 9), round(w["engine_conf"], 9)) for w in ws]
+    assert {(r["image"], r["line_no"]): near(r["words"]) for r in got} == {k: near(v) for k, v in want.items()} and len(got) == len(want) > 25
+    said = {}
+    for r in voting.candidates(tallied).collect():
+        said.setdefault((r["image"], tuple(r["slot"])), []).append((r["reading"], round(r["share"], 9)))
+    assert all([(a["word"], round(a["share"], 9)) for a in x] == sorted(said[r["image"], tuple(w["slot"])]) for r in got for w, x in zip(r["words"], r["alternatives"]))
