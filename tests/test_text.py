@@ -108,3 +108,11 @@ def test_rates_of_null_texts(spark):
     rows = [(None, "x"), ("x", None), ("", None), (None, None), ("a b", "a c")]
     assert values(spark, rows, "a string, b string", T.cer(F.col("a"), F.col("b"))) == [None, None, 1.0, None, 1 / 3]
     assert values(spark, rows, "a string, b string", T.wer(F.col("a"), F.col("b"))) == [None, None, 1.0, None, 0.5]
+
+
+def test_word_multisets_of_long_lines_cost_their_words_once(spark):
+    words = [f"w{i}" for i in range(60_000)] * 2
+    began = time.perf_counter()
+    assert values(spark, [(" ".join(words), " ".join(words[::-1][:90_000]))], "a string, b string", T.bow_f1(F.col("a"), F.col("b"))) == [2 * 90_000 / 210_000]
+    assert values(spark, [(["a", "b", "b"], ["b", "b", "b", "c"]), ([], ["a"])], "a array<string>, b array<string>", T.shared_words(F.col("a"), F.col("b"))) == [2, 0]
+    assert time.perf_counter() - began < 30  # looking each word up in the whole line took minutes
