@@ -49,3 +49,20 @@ def test_suspects_ask_the_lexicon_only_where_it_decides(spark):
         got = sorted((r["word"], r["conf"], r["n_alternatives"]) for r in L.suspects(rows, unigram, keep).collect())
         want = [(w, c, n) for w, c, n in words if w in ("known", "other", "LONGCAPS") and not (w == "LONGCAPS" and c >= 0.5) and not (c >= (0.9 if w in ("known", "LONGCAPS") else keep) and n <= 1)]
         assert got == sorted(want), keep
+
+
+def test_trust_and_boxes_carry_no_more_than_they_need(spark):
+    plan = lambda name: Q.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("line_text", "line_boxes", "reading_order"):
+        above, below = plan(name).split("RepartitionByExpression")
+        assert "explode" in above and "explode" not in below, name  # pages are dealt before their words are rows
+    trust = plan("trust_pivot").split("\n")
+    last = max(i for i, x in enumerate(trust) if "Window" in x)
+    assert "Project" in trust[last + 1] and not re.search(r"\blines#\d+\]", trust[last + 1].split(" AS ")[-1]) and "lines#" not in trust[last]
+    assert "_mean" in trust[last + 1]
+
+
+def test_texts_of_readings_are_their_words(spark):
+    flat = S.read_words(spark, SMALL).select("image", "dataset", "level", F.col("source").alias("system"), F.array_join("words", " ").alias("text"), F.array_join(F.transform("said", lambda w: w["word"]), " ").alias("reading"))
+    pairs = S.pairs(spark, SMALL)
+    assert pairs.exceptAll(flat).isEmpty() and flat.exceptAll(pairs).isEmpty()
